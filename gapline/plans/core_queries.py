@@ -68,7 +68,7 @@ def _calendar(spark: SparkSession, folder: str) -> DataFrame:
 def p4_trailing(spark: SparkSession, folder: str) -> DataFrame:
     totals = trailing_totals(build_trees(_calendar(spark, folder), "subject_id", "lifelog_date", "source_record_count"))
     return totals.select(
-        F.col("entity").alias("subject_id"), F.col("day").alias("lifelog_date"), "total_7", "total_30",
+        F.col("entity").alias("subject_id"), F.date_format("day", "yyyy-MM-dd").alias("lifelog_date"), "total_7", "total_30",
         F.round("average_7", 6).alias("average_7"), F.round("average_30", 6).alias("average_30"), "valued_days_7", "valued_days_30",
     )
 
@@ -151,7 +151,7 @@ ORACLES = {
   coalesce(sensor_day_id, d) as sensor_day_id, sensor_day_id is null and d is not null as sensor_day_id_filled,
   case when sensor_day_id is not null then 'observed' when d is not null then 'dependency:seed' else 'open' end as sensor_day_id_source
  from masks join known using (seed)""",
-    "p4_trailing": f"with {_SPINE} select subject_id, lifelog_date, total_7, total_30, round(total_7 / 7.0, 6)::double as average_7, round(total_30 / 30.0, 6)::double as average_30, valued_days_7, valued_days_30 from totals",
+    "p4_trailing": f"with {_SPINE} select subject_id, strftime(lifelog_date, '%Y-%m-%d') as lifelog_date, total_7, total_30, round(total_7 / 7.0, 6)::double as average_7, round(total_30 / 30.0, 6)::double as average_30, valued_days_7, valued_days_30 from totals",
     "p4_found": f"with {_SPINE} select subject_id, strftime(lifelog_date, '%Y-%m-%d') as lifelog_date from totals where total_7 * 300 < total_30 * 7",
     "p6_found": f"with {_EPOCHS} select s.view_id, s.epoch_index from slots s left join cells c on c.view_id = s.view_id and c.epoch_index = s.epoch_index where c.view_id is null",
     "p6_counts": f"with {_EPOCHS} select s.view_id, s.epoch_index, coalesce(c.n_readings, 0)::bigint as n_readings, round(c.observed, 6) as observed, c.view_id is null as is_empty from slots s left join cells c on c.view_id = s.view_id and c.epoch_index = s.epoch_index",
