@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapline.llm.mixing import mix
 from gapline.llm.nearest import nearest_in_time
+from gapline.llm.packing import pack
 from gapline.llm.percentiles import bounds, combine, exact_percentiles, summarize
+from gapline.llm.tokens import token_counts
 from gapline.sources.tables import each_once, read
+from gapline.staging import join_bounded, materialize
 
 PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
@@ -36,7 +40,47 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("record_id", "window_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined_days, p5_found)}
+#: Tokens of a container.
+CAPACITY = 1024
+
+
+def _sized(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Each document once, with its tokens."""
+    return token_counts(each_once(read(spark, folder, "documents"), ["doc_id", *columns, "text"]), "text")
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_sized(spark, folder).select("doc_id", "n_tokens"), "doc_id", "n_tokens", CAPACITY)
+
+
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    held = _packed(spark, folder).groupBy("container_id").agg(F.sum("piece_length").alias("held"))
+    sums = held.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("held").alias("n_tokens"), F.max("held").alias("fullest"))
+    return sums.select("n_containers", "n_tokens", "fullest", F.ceil(F.col("n_tokens") / CAPACITY).alias("least_containers"), (F.col("n_tokens") / (F.col("n_containers") * CAPACITY)).alias("filled_share"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = _sized(spark, folder, "source").withColumn("same", F.xxhash64("text")).drop("text")
+    docs = materialize(docs, "sized")
+    # The documents of one text share its weight.
+    copies = docs.groupBy("source", "same").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    weighed = join_bounded(docs, copies, ["source", "same"], "left").withColumn("weight", 1.0 / F.coalesce("copies", F.lit(1)))
+    return mix(weighed, read(spark, folder, "mix_targets"), "doc_id", "source", "n_tokens", "weight")
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined_days, p5_found, p8_packing, p8_report, p9_mixture, p9_shares)}
 
 ORACLES = {
     "p1_percentiles": f"""with recs as (select distinct record_id, subject_id, primitive, raw_value from phase_records where raw_value is not null and isfinite(raw_value)),
