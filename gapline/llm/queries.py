@@ -9,6 +9,7 @@ from gapline.llm.mixing import mix
 from gapline.llm.nearest import nearest_in_time
 from gapline.llm.packing import pack
 from gapline.llm.percentiles import bounds, combine, exact_percentiles, summarize
+from gapline.llm.pii import fit, with_pii
 from gapline.llm.tokens import token_counts
 from gapline.sources.tables import each_once, read
 from gapline.staging import join_bounded, materialize
@@ -80,7 +81,20 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined_days, p5_found, p8_packing, p8_report, p9_mixture, p9_shares)}
+def _tagged(spark: SparkSession, folder: str) -> DataFrame:
+    docs = each_once(read(spark, folder, "documents"), ["doc_id", "text"])
+    return with_pii(docs, "text", fit(docs, "doc_id", "text", read(spark, folder, "contact_roster")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _tagged(spark, folder).select("doc_id", F.explode("pii").alias("x")).select("doc_id", "x.pii_type", "x.char_start")
+
+
+def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return _tagged(spark, folder).select("doc_id", "redacted")
+
+
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined_days, p5_found, p8_packing, p8_report, p9_mixture, p9_shares, p10_found, p10_redacted)}
 
 ORACLES = {
     "p1_percentiles": f"""with recs as (select distinct record_id, subject_id, primitive, raw_value from phase_records where raw_value is not null and isfinite(raw_value)),
