@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapline.plans import core_queries
+from gapline.plans import core_queries, study_queries
 
-MODULES = (core_queries,)
+MODULES = (core_queries, study_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return core_queries.p4_trailing(spark, folder)
+    return study_queries.flagship(spark, folder)
