@@ -45,7 +45,7 @@ def loso_logistic(df: DataFrame, subject: str, label: str, features: list[str],
             pack = VectorAssembler(inputCols=[f"__{f}" for f in features], outputCol="__raw")
             ready = lambda d: pack.transform(full.transform(d))  # noqa: E731, B023
             scale = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(ready(train))
-            model = LogisticRegression(featuresCol="__x", labelCol=label, regParam=l2, maxIter=50).fit(scale.transform(ready(train)))
+            model = LogisticRegression(featuresCol="__x", labelCol=label, regParam=l2, maxIter=25).fit(scale.transform(ready(train)))
             from pyspark.ml.functions import vector_to_array
 
             p = vector_to_array("probability")[1]

@@ -421,9 +421,9 @@ def _gains(spark: SparkSession, folder: str) -> DataFrame:
     return inference.common_gains(wide, KEYS, "M0", ["linear"])
 
 
-@query(f"{_PRE}, {_GAIN} select subject_id, {D}, round(gain_linear, 6) as gain_linear from gn")
+@query(f"{_PRE}, {_GAIN} select subject_id, {D}, round(gain_linear, 6) + 0.0 as gain_linear from gn")
 def op271_common_gains(spark: SparkSession, folder: str) -> DataFrame:
-    return text_day(six(_gains(spark, folder), "gain_linear"))
+    return text_day(six(_gains(spark, folder), "gain_linear").withColumn("gain_linear", F.col("gain_linear") + 0.0))
 
 
 @query(f"{_PRE}, {_GAIN}, p as (select subject_id, median(gain_linear) as m from gn where gain_linear is not null group by 1) select count(*)::bigint as n_participants, round(median(m), 6) as median, count(case when m > 0 then 1 end)::bigint as n_positive from p")
