@@ -153,3 +153,93 @@ def participant_weights(df: DataFrame, subject: str) -> DataFrame:
     own = df.groupBy(subject).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy()
     return df.join(own.withColumn("weight", F.sum("__n").over(w) / (F.count(F.lit(1)).over(w) * F.col("__n"))).drop("__n"), subject)
+
+
+def bootstrap_correlation(df: DataFrame, subject: str, x: str, y: str, draws: int, root: str, levels: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """An interval of the within-participant correlation from resamples of participants by hash, out of each one's sums."""
+    w = Window.partitionBy()
+    sums = pair_sums(df, [subject], x, y).where("n >= 2")
+    rows = sums.select("sxx", "syy", "sxy", (F.row_number().over(Window.orderBy(subject)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("k"))
+    slots = rows.select(F.col("i").alias("j"), "k").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(root), F.col("draw").cast("string"), F.col("j").cast("string")), 256), 1, 15), 16, 10).cast("bigint")
+    taken = slots.withColumn("i", F.pmod(number, F.col("k")).cast("int")).join(F.broadcast(rows.drop("k")), "i")
+    r = taken.groupBy("draw").agg(F.sum("sxx").alias("a"), F.sum("syy").alias("b"), F.sum("sxy").alias("c")).select(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("c") / F.sqrt(F.col("a") * F.col("b"))).alias("r"))
+    return r.agg(F.count("r").alias("draws"), F.percentile("r", F.lit(levels[0])).alias("low"), F.percentile("r", F.lit(levels[1])).alias("high"))
+
+
+def max_sign_flip(df: DataFrame, candidate: str, subject: str, value: str) -> DataFrame:
+    """One-sided sign-flip p values of several candidates against the largest mean of all candidates in each sign pattern.
+
+    Each participant's sign flips in all candidates alike. One row a candidate and
+    participant, complete; at most 16 participants and 1,000 candidates.
+    """
+    rows = df.select(candidate, subject, value).limit(MOST_FLIPPED * 1000 + 1).collect()
+    people, names = sorted({r[1] for r in rows}), sorted({r[0] for r in rows})
+    if len(people) > MOST_FLIPPED or len(names) > 1000 or len(rows) != len(people) * len(names):
+        raise ValueError("candidates must have the same participants, at most 16")
+    table = np.zeros((len(people), len(names)))
+    for c, s, v in rows:
+        table[people.index(s), names.index(c)] = v
+    out = []
+    if people:
+        means = np.array(list(product((1, -1), repeat=len(people)))) @ table / len(people)
+        top = means.max(1)
+        out = [(n, float(table[:, i].mean()), float(np.mean(top >= table[:, i].mean() - 1e-12))) for i, n in enumerate(names)]
+    return df.sparkSession.createDataFrame(out, f"{candidate} string, mean double, p_value double")
+
+
+def residual_correlation(df: DataFrame, subject: str, x: str, y: str, nuisance: list[str]) -> DataFrame:
+    """The within-participant correlation of what is left of x and y after linear effects of the nuisance columns.
+
+    For each participant the effects are fitted to all others, from sums of
+    products less the own part (columns centred within participants; a column
+    without variation of its own gets no effect). Only sums, one small matrix a
+    participant, are gathered: at most 10,000 participants.
+    """
+    cols = [x, y, *nuisance]
+    full = df
+    for c in cols:
+        full = full.where(F.col(c).isNotNull())
+    w = Window.partitionBy(subject)
+    centred = full.select(subject, *((F.col(c) - F.avg(c).over(w)).alias(f"__{i}") for i, c in enumerate(cols)))
+    k = len(cols)
+    sums = centred.groupBy(subject).agg(*(F.sum(F.col(f"__{i}") * F.col(f"__{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k))).orderBy(subject).limit(10_001).collect()
+    if len(sums) > 10_000:
+        raise ValueError("more than 10000 participants")
+    mats = []
+    for r in sums:
+        m = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+        mats.append(m)
+    total, out = np.sum(mats, axis=0) if mats else np.zeros((k, k)), []
+    for r, own in zip(sums, mats):
+        rest = total - own
+        beta = np.linalg.lstsq(rest[2:, 2:], rest[2:, :2], rcond=1e-10)[0]
+        left = own[:2, :2] - beta.T @ own[2:, :2] - own[:2, 2:] @ beta + beta.T @ own[2:, 2:] @ beta
+        out.append((r[subject], float(left[0, 0]), float(left[1, 1]), float(left[0, 1])))
+    frame = df.sparkSession.createDataFrame(out, f"{subject} string, a double, b double, c double")
+    return frame.agg(F.count(F.lit(1)).alias("n_participants"), F.when((F.sum("a") > 0) & (F.sum("b") > 0), F.sum("c") / F.sqrt(F.sum("a") * F.sum("b"))).alias("r"))
+
+
+def calibration(df: DataFrame, label: str, p: str, steps: int = 25) -> DataFrame:
+    """Intercept and slope of a logistic recalibration of log odds, by Newton's method on sums; null with one class or constant odds."""
+    q = F.greatest(F.least(F.col(p), F.lit(1 - 1e-6)), F.lit(1e-6))
+    rows = df.where(F.col(label).isNotNull() & F.col(p).isNotNull()).select(F.col(label).cast("double").alias("y"), F.log(q / (1 - q)).alias("z")).cache()
+    n, ones, spread = rows.agg(F.count(F.lit(1)), F.sum("y"), F.stddev_pop("z")).first()
+    a = b = None
+    if n and 0 < ones < n and spread:
+        a, b = 0.0, 1.0
+        for _ in range(steps):
+            m = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("z"))))
+            g = rows.agg(F.sum(F.col("y") - m), F.sum((F.col("y") - m) * F.col("z")), F.sum(m * (1 - m)), F.sum(m * (1 - m) * F.col("z")), F.sum(m * (1 - m) * F.col("z") * F.col("z"))).first()
+            det = g[2] * g[4] - g[3] ** 2
+            if det <= 1e-12:
+                break
+            da, db = (g[4] * g[0] - g[3] * g[1]) / det, (g[2] * g[1] - g[3] * g[0]) / det
+            a, b = a + da, b + db
+            if abs(da) + abs(db) < 1e-10:
+                break
+    rows.unpersist()
+    return df.sparkSession.createDataFrame([(n, a, b)], "n bigint, intercept double, slope double")
