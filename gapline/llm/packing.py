@@ -19,32 +19,43 @@ from gapline.staging import join_bounded, materialize
 #: Shares of the capacity: items longer than this are large.
 LARGE = 0.25
 #: Groups into which the large items are cut.
-GROUPS = 24
+GROUPS = 256
 
 
 def _configurations(sizes: list[int], need: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Configurations (how many of each size in one container) and how often each is used, so that every need is met.
 
-    Column by column: each round takes the fullest configuration that the needs
-    still left allow (a knapsack over few sizes, solved exactly by reachable
-    sums) and uses it as often as they allow.
+    ``sizes`` fall. Each round takes the longest size still needed, and with it
+    the sizes that leave least room: a bounded knapsack, solved exactly, whose
+    reachable sums are the bits of one number. The configuration is used as often
+    as the needs allow, so each round ends a size or nearly so.
     """
     left = list(need)
     plan: list[tuple[tuple[int, ...], int]] = []
-    while any(left):
-        # best[c]: the count of each size in a set of items of total length c, preferring large sizes.
-        reach: dict[int, tuple[int, ...]] = {0: (0,) * len(sizes)}
-        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-            for total, used in sorted(reach.items()):
-                for k in range(1, min(left[i], (capacity - total) // sizes[i]) + 1):
-                    if total + k * sizes[i] not in reach:
-                        reach[total + k * sizes[i]] = (*used[:i], k, *used[i + 1 :])
-        # The fullest that can be repeated; among nearly full ones, the one that uses the largest sizes.
-        config = reach[max(reach)]
+    first = 0
+    while first < len(sizes):
+        if not left[first]:
+            first += 1
+            continue
+        room = capacity - sizes[first]
+        reach, mask, layers = 1, (1 << (room + 1)) - 1, []
+        for i in range(first, len(sizes)):
+            s, most = sizes[i], min(left[i] - (i == first), room // sizes[i])
+            if most > 0:
+                layers.append((i, s, most, reach))
+                for _ in range(most):
+                    reach |= (reach << s) & mask
+        config, rest = [0] * len(sizes), reach.bit_length() - 1
+        config[first] = 1
+        # Back from the shortest size: as few as possible of it, so that long ones are preferred.
+        for i, s, most, before in reversed(layers):
+            k = next(k for k in range(most + 1) if rest >= k * s and before >> (rest - k * s) & 1)
+            config[i] += k
+            rest -= k * s
         times = min(left[i] // k for i, k in enumerate(config) if k)
         for i, k in enumerate(config):
             left[i] -= k * times
-        plan.append((config, times))
+        plan.append((tuple(config), times))
     return plan
 
 
