@@ -19,6 +19,8 @@ _WORDS_AT = r"[\w.+-]+\sat\s[\w-]+(?:(?:\sdot\s|\.)[\w-]+)*\sdot\s[A-Za-z][\w-]*
 EMAIL = re.compile(rf"[\w.+-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[A-Za-z][\w-]*|{_WORDS_AT}", re.I)
 #: A number of seven to fifteen digits, perhaps with letters around it.
 NUMBER = re.compile(r"(?<![\w.:/‑-])(?<!\d[ ,])(?:[A-Z]{1,2}[ -]?)?(?:\([+\d]|\+|\d)[\d  ().\-/‑–]{4,24}\d(?:[ -]?[A-Z](?![\w]))?|(?<![\w.:/‑-])\+?\(?\d{7,15}(?![\w])")
+#: Two letters, six digits and a letter, in any case: too few digits for a number of the pattern above.
+LETTERED_ID = re.compile(r"(?<![\w.:/‑-])[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Z](?!\w)", re.I)
 _DATE = re.compile(r"(?<!\d)\d{4}-\d\d-\d\d(?!\d)|\d\d?:\d\d")
 _STRONG_PHONE = re.compile(
     r"\(?\+\d|\(0?\d{2,4}\)|(?:0\d{1,3}|\d{3})[-. ‑]\d{3,4}[-. ‑]\d{4}$|0\d{2,4}[/ ]\d{4,}|0\d{9,10}$|00\d{9,}"
@@ -68,10 +70,13 @@ def plain_case(text: str) -> str:
 
 def number_spans(text: str) -> list[Span]:
     """Phone and identity numbers, told apart by the nearest telling word, or by shape where there is none."""
-    out: list[Span] = []
+    out: list[Span] = [(*m.span(), "id_number") for m in LETTERED_ID.finditer(text)]
+    lettered = list(out)
     for m in NUMBER.finditer(text):
         a, b = m.span()
         raw = m.group()
+        if any(a < y and b > x for x, y, _ in lettered):
+            continue
         if not 7 <= sum(c.isdigit() for c in raw) <= 17 or _DATE.search(raw) and not re.search(r"\d{6}", raw):
             continue
         if raw.startswith("(") and raw.count("(") > raw.count(")"):
@@ -167,6 +172,7 @@ def confirmed(text: str, start: int, end: int, kind: str, openers: frozenset[str
                 hits.append((a, b))
         if kind == "id_number":
             hits += [m.span() for m in re.finditer(r"(?<![\w])[A-Z]{1,2} ?\d[\d -]{4,12}\d ?-?[A-Z]?(?!\w)", part)]
+            hits += [m.span() for m in LETTERED_ID.finditer(part)]
     elif kind == "street_address":
         seen = plain_case(part)
         for rx in ADDRESSES:

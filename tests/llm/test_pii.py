@@ -124,3 +124,12 @@ def test_accents_composed_or_not():
     assert len(two) == len(one) + 1
     assert (word_features(*encode(one))[-1] == word_features(*encode(two))[-1]).all()
     assert len(encode("\ud800x")[0]) == 2 and word_features(*encode("")).shape == (0, 6)
+
+
+def test_identity_numbers_with_letters():
+    for number in ("QQ 66 76 11 D", "QQ951834A", "qq 686307 a"):
+        for text in (f"Identity number: {number} My wrist itched.", f"The nurse read {number} back to me."):
+            a = text.index(number)
+            assert labels(text, None) == [(a, a + len(number), "id_number")]
+            assert confirmed(text, a + 3, a + len(number) - 1, "id_number") == (a, a + len(number))
+    assert number_spans("code xqq686307ab and Q 686307.") == []
