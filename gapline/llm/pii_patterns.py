@@ -43,12 +43,29 @@ PHONE_WORDS = r"phone|call|text|\btel\b|telefon|teléfono|mobile|cell|reach|numb
 ID_WORDS = r"ssn|social security|identity|insurance|\bid\b|\bident|dni|\bnie\b|steuer|주민|확인 번호|신분|passport|tax number"
 OTHER_WORDS = r"checksum|batch|protocol|form \d|window|ratio|epoch|serial|seed|version|rows=|ts=|draw|cell "
 ADDRESSES = (
-    re.compile(r"(?<![\w-])\d{1,4}[A-Z]? (?:(?:St\.? )?[A-Z][\w'’]+ ){1,3}(?:Lane|Ln|Street|St|Close|Cl|Road|Rd|Avenue|Ave|Court|Ct|Way|Drive|Dr|Place|Pl|Terrace|Square|Sq|Row|Walk|Hill|Gardens)\b(?!-)\.?"),
-    re.compile(r"(?<![\w-])(?:(?:Am|An der|An den|Auf dem|Auf der|Im|In der|Zur|Zum|Unter den) )?[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|graben|ufer|ring|damm|hof|steig) ?\d{1,4} ?[a-z]?(?!\w)"),
+    re.compile(r"(?<![\w-])\d{1,4}[A-Z]? (?:(?:St\.? )?[A-Z][\w'’]+ ){1,3}(?:Lane|Ln|Street|St|Close|Cl|Road|Rd|Avenue|Ave|Court|Ct|Way|Drive|Dr|Place|Pl|Terrace|Square|Sq|Row|Walk|Hill|Gardens|Crescent|Cres|Grove|Mews|Rise|Parade|Boulevard|Blvd|Alley|Circle|Parkway|Highway)\b(?!-)\.?"),
+    re.compile(r"(?<![\w-])(?:(?:Am|An der|An den|Auf dem|Auf der|Im|In der|Zur|Zum|Unter den) )?(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|graben|ufer|ring|damm|hof|steig|zeile|stieg|pfad|chaussee|promenade|winkel)|(?:Alte|Neue|Große|Kleine|Lange|Kurze|Obere|Untere|Hohe|Breite)[rsn]? (?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Zeile|Damm|Ring|Markt)) ?\d{1,4} ?[a-z]?(?!\w)"),
     re.compile(r"(?<![\w-])(?:Calle|C/|Plaza|Pza\.|Avenida|Avda\.|Paseo|Pº|Camino|Ronda|Travesía|Carrera|Glorieta) ?(?:de la |de los |de las |del |de )?[A-ZÁÉÍÓÚÑ][\wáéíóúñ]+(?: (?:de la |de los |del |de )?[A-ZÁÉÍÓÚÑ][\wáéíóúñ]+){0,3},? (?:n\.?º ?)?\d{1,4}"),
     re.compile(r"(?<![가-힣])[가-힣]+(?:시|군|도) (?:[가-힣]+(?:시|구|군|면|읍|동) ){1,2}[가-힣]+(?:대로|길|로) ?\d+(?:-\d+)?"),
 )
 
+_CAP = r"(?:(?:St|Str|Sta|Sto|Ave|Avda|Rd|Dr|Dra|Ln|Ct|Pl|Sq|[A-ZÀ-ÖØ-Þ])\.|[A-ZÀ-ÖØ-Þ][\w'’]*(?:-[A-ZÀ-ÖØ-Þ][\w'’]*)*)"
+#: House number and capitalised words; capitalised words and house number.
+_NUMBER_FIRST = rf"(?<![\w.:/-])\d{{1,5}}(?:-\d{{1,5}})?[A-Za-z]? (?>(?:(?:of|the|de|la|St\.) )?{_CAP}(?: (?:(?:of|the|de|la) )*{_CAP}){{0,4}})(?![\w-])"
+_WORDS_FIRST = rf"(?<![\w-]){_CAP}(?:[ /](?:(?:de|la|los|las|del|der|den|dem|am|an|im|zum|zur|y|und) )*{_CAP}){{0,4}},? ?(?:n\.?º ?|Nr\.? ?)?\d{{1,4}}(?: ?[a-z])?(?![\w-])"
+_FLAT = r"(?:[ ,\n]+(?:Apt|Apartment|Flat|Unit|Suite|Room)\.? ?#?\w{1,5})"
+_TOWN = rf"{_CAP}(?: (?:(?:am|an|der|im|on|the|upon|de|la|del) )*{_CAP}){{0,3}}"
+_CODE = r"(?i:[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}|[A-Z]{2} \d{5}(?:-\d{4})?)(?!\w)"
+_BEFORE_TOWN = r"(?:, ?[\w.º]{1,8}(?: [\w.º]{1,8})?)?(?:, ?|\s*\n\s*)(?:[A-Z]{1,2}-)?\d{4,5} "
+#: Words that introduce an address.
+_AT_WORDS = r"(?:home|address|label|lives?|living|moved|residence|adresse|anschrift|abholung|abholen|lieferung|versand|wohn\w*|dirección|domicilio|entrega|vivo|vive|recogida|at|to|in|an|nach|en|a)(?: (?:is|in|at|to|an|en|a|ist|es))?[:,]? ?"
+_AT_CUE = re.compile(rf"(?<!\w){_AT_WORDS}\Z", re.I)
+_AT_START = re.compile(rf"{_AT_WORDS[:-1]}(?=(?-i:[A-ZÀ-ÖØ-Þ]))", re.I)
+#: With a postcode behind, an address is sure from its shape.
+SURE_ADDRESSES = (re.compile(rf"{_NUMBER_FIRST}(?={_FLAT}?(?:, ?|\s*\n\s*){_TOWN},? {_CODE})"), re.compile(rf"{_WORDS_FIRST}(?={_BEFORE_TOWN}{_CAP})"))
+_LIKELY_ADDRESSES = (re.compile(rf"{_NUMBER_FIRST}(?={_FLAT}|,? {_CODE}|(?:, ?|\s*\n\s*)[A-ZÀ-ÖØ-Þ]\w\w)"), re.compile(r"(?<![가-힣])[가-힣]+(?:시|군|도) (?:[가-힣]+(?:시|구|군|면|읍|동|리) ){1,2}[가-힣]+ ?\d+(?:-\d+)?(?![\w])"))
+_CUED_ADDRESSES = (re.compile(_NUMBER_FIRST), re.compile(_WORDS_FIRST))
+
 #: Words with a capital that are no names.
 _NO_NAME = re.compile(r"(?:Tel|Telefon|Telephone|Phone|Mobile|Cell|Home|Work|Call|Text|Teléfono|Thanks|Danke|Gracias|Contact|Kontakt|Contacto|The|Missed|Visit|Signed|Request|Question|Ticket|Schwester|Bruder|Nachbar|Nachbarin|Mutter|Vater|Mann|Kollege|Kollegin|Technikerin|Techniker)\b")
 _TITLE = re.compile(r"^(?:mr|mrs|ms|miss|dr|prof|herr|frau|señora?|nurse|technician|doctor|investigator)\b\.? *|^(?:my|his|her|mein|meine|mi) \w+ ", re.I)
@@ -109,12 +126,60 @@ def _without_openers(name: str, openers: frozenset[str]) -> str:
     return " ".join(words)
 
 
+def composed(text: str) -> tuple[str, list[int] | None, list[int] | None]:
+    """The text with composed accents, and where each of its characters begins and ends in the given one (None: as here)."""
+    if unicodedata.is_normalized("NFC", text):
+        return text, None, None
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    at = 0
+    while at < len(text):
+        end = at + 1
+        # Marks, and the later parts of a Korean syllable, belong to the character before.
+        while end < len(text) and (unicodedata.combining(text[end]) or "\u1160" <= text[end] <= "\u11ff"):
+            end += 1
+        for c in unicodedata.normalize("NFC", text[at:end]):
+            out.append(c)
+            starts.append(at)
+            ends.append(end)
+        at = end
+    return "".join(out), starts, ends
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """An address without the introducing words before it."""
+    while (m := _AT_START.match(text, a, b)) and m.end() < b:
+        a = m.end()
+    return a, b
+
+
+def sure_addresses(text: str) -> list[tuple[int, int]]:
+    """Addresses by the words for streets, and where there are none, by their shape with a postcode."""
+    hits = [m.span() for rx in ADDRESSES for m in rx.finditer(text)]
+    free = lambda a, b: all(b <= x or a >= y for x, y in hits)
+    return hits + [s for rx in SURE_ADDRESSES for m in rx.finditer(text) if free(*(s := _trimmed(text, *m.span())))]
+
+
+def likely_addresses(text: str) -> list[tuple[int, int]]:
+    """Also those that a town, a flat, or an introducing word makes likely. For what a model took for addresses."""
+    hits = sure_addresses(text)
+    for rx in _LIKELY_ADDRESSES:
+        hits += [m.span() for m in rx.finditer(text) if all(m.end() <= x or m.start() >= y for x, y in hits)]
+    for rx in _CUED_ADDRESSES:
+        for m in rx.finditer(text):
+            a, b = _trimmed(text, *m.span())
+            if all(b <= x or a >= y for x, y in hits) and (a > m.start() or _AT_CUE.search(text[max(0, a - 24) : a])):
+                hits.append((a, b))
+    return hits
+
+
 def labels(text: str, roster: re.Pattern | None, openers: frozenset[str] = frozenset()) -> list[Span]:
     """Spans of a text for training, without overlaps. ``roster`` matches full names of known people, in any case."""
-    seen = plain_case(text)
+    whole, starts, ends = composed(text)
+    seen = plain_case(whole)
     found: list[Span] = [(*m.span(), "email") for m in EMAIL.finditer(seen)]
-    for rx in ADDRESSES:
-        found += [(*m.span(), "street_address") for m in rx.finditer(seen)]
+    found += [(a, b, "street_address") for a, b in sure_addresses(seen)]
     found += number_spans(seen)
     for rx in [*_BEFORE, *_AFTER, *_KOREAN]:
         for m in rx.finditer(seen):
@@ -130,7 +195,7 @@ def labels(text: str, roster: re.Pattern | None, openers: frozenset[str] = froze
     for s in sorted(found, key=lambda s: (order[s[2]] if s[2] != "street_address" else 0.5, -(s[1] - s[0]))):
         if all(s[1] <= t[0] or s[0] >= t[1] for t in taken):
             taken.append(s)
-    return sorted(taken)
+    return sorted(taken if starts is None else [(starts[a], ends[b - 1], k) for a, b, k in taken])
 
 
 def roster_pattern(people: list[tuple[str, str]]) -> re.Pattern | None:
@@ -159,7 +224,7 @@ def _starts_here(text: str, at: int) -> bool:
 def confirmed(text: str, start: int, end: int, kind: str, openers: frozenset[str] = frozenset(), given: frozenset[str] = frozenset()) -> tuple[int, int] | None:
     """The exact bounds of a span that the model found, or None if its text can't be what the model says."""
     low, high = max(0, start - 48), min(len(text), end + 48)
-    part = text[low:high]
+    part, starts, ends = composed(text[low:high])
     hits: list[tuple[int, int]] = []
     if kind == "email":
         hits = [m.span() for m in EMAIL.finditer(part)]
@@ -174,9 +239,7 @@ def confirmed(text: str, start: int, end: int, kind: str, openers: frozenset[str
             hits += [m.span() for m in re.finditer(r"(?<![\w])[A-Z]{1,2} ?\d[\d -]{4,12}\d ?-?[A-Z]?(?!\w)", part)]
             hits += [m.span() for m in LETTERED_ID.finditer(part)]
     elif kind == "street_address":
-        seen = plain_case(part)
-        for rx in ADDRESSES:
-            hits += [m.span() for m in rx.finditer(seen)]
+        hits = likely_addresses(plain_case(part))
     else:
         # A name begins with a letter and ends with a whole word; in Korean words go on with particles.
         part_of = lambda c: c.isalnum() or unicodedata.combining(c) > 0
@@ -213,5 +276,7 @@ def confirmed(text: str, start: int, end: int, kind: str, openers: frozenset[str
         if single and unicodedata.normalize("NFC", name.split("-")[0]) in openers and _starts_here(text, a):
             return None
         return a, a + len(name)
+    if starts is not None:
+        hits = [(starts[a], ends[b - 1]) for a, b in hits]
     hits = [(a + low, b + low) for a, b in hits if a + low < end and b + low > start]
     return max(hits, key=lambda h: min(h[1], end) - max(h[0], start)) if hits else None

@@ -133,3 +133,31 @@ def test_identity_numbers_with_letters():
             assert labels(text, None) == [(a, a + len(number), "id_number")]
             assert confirmed(text, a + 3, a + len(number) - 1, "id_number") == (a, a + len(number))
     assert number_spans("code xqq686307ab and Q 686307.") == []
+
+
+@pytest.mark.parametrize(
+    "before, address, after",
+    [
+        ("The courier stood at ", "14 Harrow Steps Crescent", ", Queensholt NM7 6QZ and left."),
+        ("home ", "146 Fennel Crescent", ", Apt 5, Queensholt."),
+        ("Ask for ", "31B Harrow Rookery", ", Ostley, ZZ 00837.\nWent out."),
+        ("She lives at ", "7 Old Mill Rookery", " with a dog."),
+        ("Das Ersatzgerät ging an ", "Alte Zeile 88 c", ", 00199 Neu-Wiesel. Am"),
+        ("ohne jetzt unter der Adresse ", "Hintere Schanze 208 c", ", 00291 Obertannau.\nDie"),
+        ("El reloj se envió a ", "Cuesta Almendro 65", ", bajo, 00929 Puerto Luzán."),
+        ("Wir wohnen in der ", "Grünbühlstraße 7", ", 00291 Obertannau."),
+    ],
+)
+def test_addresses_by_shape(before, address, after):
+    for form in ("NFC", "NFD"):
+        b, x, e = (unicodedata.normalize(form, t) for t in (before, address, after))
+        text, span = b + x + e, (len(b), len(b) + len(x))
+        assert confirmed(text, span[0] + 2, span[1], "street_address") == span
+        assert "rookery" not in x.lower() or "ZZ" not in text or labels(text, None) == [(*span, "street_address")]
+        assert "Crescent" not in x and "Zeile" not in x and "straße" not in x or labels(text, None) == [(*span, "street_address")]
+
+
+def test_numbers_with_capitals_are_no_addresses():
+    for text, at in (("flag never rose.\nA: 12 Long Gaps Lane-marked in the plot", "12 Long"), ("It was 65 Percent of all", "65 Percent"), ("kept a diary for 13 days, Nobody", "13 days")):
+        assert confirmed(text, text.index(at), text.index(at) + len(at), "street_address") is None
+        assert labels(text, None) == []
