@@ -29,7 +29,8 @@ class PiiSettings:
     The tagger is trained in ``shards`` tasks, each over its own stretches; after
     each of ``rounds`` rounds of ``steps`` steps the changes of the weights are averaged.
     ``window`` and ``overlap``: characters of the windows that every whole text is
-    cut into. ``task_chars``: about how many characters a task reads.
+    cut into. ``task_chars``: about how many characters a task reads. ``openers``:
+    in how many texts a word must begin sentences to be taken for one that often does.
     """
 
     sample: int = 6000
@@ -44,6 +45,7 @@ class PiiSettings:
     window: int = 256
     overlap: int = 64
     task_chars: int = 3_000_000
+    openers: int = 20
     seed: int = 11
 
 
@@ -278,14 +280,18 @@ def find_in(model: Tagger, texts: list[str], settings: PiiSettings = PiiSettings
 def training_rows(df: DataFrame, ident: str, text: str, people: list[tuple[str, str]], settings: PiiSettings) -> tuple[DataFrame, frozenset[str]]:
     """Labelled stretches of a bounded sample of the texts (those with the smallest hashes of their ids): ``part``, ``text``, ``spans``, ``words``.
 
-    Also the words (at most 5000) that begin sentences in more than one of 400 of the sample's texts.
+    Also the words that begin sentences in more than one of 400 of all texts, read whole, and in ``settings.openers`` at
+    least: no more than 400 times the mean number of such words in a text.
     """
     shift = F.pmod(F.xxhash64(F.col(ident), F.lit(2)), F.greatest(F.length(text) - settings.sample_chars + 1, F.lit(1)))
     cut = F.substring(F.col(text), (shift + 1).cast("int"), F.lit(settings.sample_chars))
     sample = df.where(F.length(text) > 0).select(F.xxhash64(ident).alias("h"), cut.alias("cut")).orderBy("h", "cut").limit(settings.sample)
     sample = materialize(sample, "sample")
-    words = sample.select("h", F.explode(F.array_distinct(F.regexp_extract_all("cut", F.lit(OPENER), F.lit(1)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    openers = frozenset(unicodedata.normalize("NFC", r[0]) for r in words.where(F.col("n") * 400 > sample.count()).orderBy(F.desc("n"), "w").limit(5000).collect())
+    whole = df.where(F.length(text) > 0)
+    first = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(OPENER), F.lit(1)))
+    words = whole.select(F.explode(first).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    often = (F.col("n") * 400 > whole.count()) & (F.col("n") >= settings.openers)
+    openers = frozenset(unicodedata.normalize("NFC", r[0]) for r in words.where(often).collect())
     roster, trap = roster_pattern(people), trap_pattern(people)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -72,6 +72,10 @@ _TITLE = re.compile(r"^(?:mr|mrs|ms|miss|dr|prof|herr|frau|señora?|nurse|techni
 _BEFORE = [re.compile(rf"(?:{c})({_FULL})") for c in NAME_BEFORE]
 _AFTER = [re.compile(rf"(?<![\w,.] )(?<![\w.])({_FULL})(?={c})") for c in NAME_AFTER]
 _KOREAN = [re.compile(c) for c in KOREAN_NAMES]
+#: What supports that a word is a name, right before and right after it.
+_SUPPORT_BEFORE, _SUPPORT_AFTER = re.compile(rf"(?:{'|'.join(NAME_BEFORE)})\Z"), re.compile("|".join(NAME_AFTER))
+#: Pronouns, which stand where names do.
+_PRONOUN = re.compile(r"(?:I|You|He|She|It|We|They|One|Who|This|That|These|Those|Nobody|Somebody|Everybody|Anybody|No|Someone|Everyone|Anyone|Both|Each|Some|All|Nothing|Ich|Du|Er|Sie|Es|Wir|Ihr|Man|Wer|Niemand|Jemand|Das|Dies|Yo|Tú|Él|Ella|Nosotros|Nosotras|Ellos|Ellas|Usted|Ustedes|Nadie|Alguien|Esto|Eso|Ese|Esa)\Z")
 _CUES = [(re.compile(w, re.I), t) for w, t in ((PHONE_WORDS, "phone"), (ID_WORDS, "id_number"), (OTHER_WORDS, ""))]
 Span = tuple[int, int, str]
 
@@ -221,6 +225,12 @@ def _starts_here(text: str, at: int) -> bool:
     return bool(re.search(r"(?:\A|[.!?>:\]]\s*|\n\s*)\Z", text[max(0, at - 4) : at] if at else ""))
 
 
+def _supported(text: str, a: int, b: int) -> bool:
+    """Whether the words around say that this word is a name."""
+    word = unicodedata.normalize("NFC", text[a:b])
+    return not _PRONOUN.match(word) and not _NO_NAME.match(word) and bool(_SUPPORT_BEFORE.search(text[max(0, a - 32) : a]) or _SUPPORT_AFTER.match(text[b : b + 16]))
+
+
 def confirmed(text: str, start: int, end: int, kind: str, openers: frozenset[str] = frozenset(), given: frozenset[str] = frozenset()) -> tuple[int, int] | None:
     """The exact bounds of a span that the model found, or None if its text can't be what the model says."""
     low, high = max(0, start - 48), min(len(text), end + 48)
@@ -272,8 +282,8 @@ def confirmed(text: str, start: int, end: int, kind: str, openers: frozenset[str
         single = not re.search(r"\s", name)
         if single and name[0].islower():
             return None
-        # One word that often begins sentences, where a sentence may begin.
-        if single and unicodedata.normalize("NFC", name.split("-")[0]) in openers and _starts_here(text, a):
+        # One word that often begins sentences, where a sentence may begin and nothing says that it is a name.
+        if single and unicodedata.normalize("NFC", name.split("-")[0]) in openers and _starts_here(text, a) and not _supported(text, a, a + len(name)):
             return None
         return a, a + len(name)
     if starts is not None:

@@ -4,7 +4,7 @@ import unicodedata
 import numpy as np
 import pytest
 
-from gapline.llm.pii import LABELS, PiiSettings, _reconciled, find_in, fit, with_pii
+from gapline.llm.pii import LABELS, PiiSettings, _reconciled, find_in, fit, training_rows, with_pii
 from gapline.llm.pii_model import Tagger, encode, word_features
 from gapline.llm.pii_patterns import TYPES, confirmed, labels, number_spans, roster_pattern
 
@@ -161,3 +161,18 @@ def test_numbers_with_capitals_are_no_addresses():
     for text, at in (("flag never rose.\nA: 12 Long Gaps Lane-marked in the plot", "12 Long"), ("It was 65 Percent of all", "65 Percent"), ("kept a diary for 13 days, Nobody", "13 days")):
         assert confirmed(text, text.index(at), text.index(at) + len(at), "street_address") is None
         assert labels(text, None) == []
+
+
+def test_openers_of_whole_texts(spark):
+    calm = "the sensor was warm. " * 30
+    rows = [(i, calm + "Field notes: none. " + calm + ("Once only." if i == 3 else "")) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    # A sample of few short stretches sees hardly any of them; a word of one text isn't frequent in a small table.
+    assert training_rows(df, "doc_id", "text", PEOPLE, PiiSettings(sample=3, sample_chars=40))[1] == {"Field"}
+
+
+def test_names_that_also_open_sentences():
+    openers = frozenset({"Field", "Rose", "She", "Text"})
+    for text, name, kept in (("It was. Field looked at the light.", "Field", True), ("Field wants the plot.", "Field", True), ("Spoke to Dr. Rose yesterday.", "Rose", True), ("Field notes: none.", "Field", False), ("She looked at the light.", "She", False), ("Text (202) 555-0184.", "Text", False)):
+        a = text.index(name)
+        assert confirmed(text, a, a + len(name), "person_name", openers) == ((a, a + len(name)) if kept else None)
