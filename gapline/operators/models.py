@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapline.operators.inference import participant_weights
+
 
 def fold_preparation(df: DataFrame, subject: str, features: list[str]) -> DataFrame:
     """Each fold's medians, means and deviations of the features, over all participants but the held-out one.
@@ -21,34 +23,46 @@ def fold_preparation(df: DataFrame, subject: str, features: list[str]) -> DataFr
     return trained.groupBy("held_out", "feature").agg(F.median("x").alias("median"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
 
 
-def loso_logistic(df: DataFrame, subject: str, label: str, features: list[str], l2: float = 0.1) -> DataFrame:
-    """Out-of-participant probabilities of a logistic regression: ``subject``, ``label``, ``probability``, one fold a participant.
+def loso_logistic(df: DataFrame, subject: str, label: str, features: list[str], l2: float = 0.1, iterations: int = 2000) -> DataFrame:
+    """Out-of-participant probabilities of a logistic regression: ``subject``, ``label``, ``probability``, ``prior``, one fold a participant.
 
-    Missing features take the training median, and a fold with one class gives
-    its smoothed prevalence (n1 + 1) / (n + 2). Rows without label aren't used.
+    In a fold each training participant weighs the same, however many rows there
+    are: in the features' means and deviations, the regression, and the ``prior``,
+    the training rows' prevalence. Missing features take the training median, and
+    a fold with one class gives its smoothed prevalence (n1 + 1) / (n + 2), n1 by
+    weight. Rows without label aren't used. A regression that hasn't converged
+    after ``iterations`` is an error.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     rows = df.where(F.col(label).isNotNull()).select(subject, F.col(label).cast("double").alias(label), *features).cache()
     people = [r[0] for r in rows.select(subject).distinct().orderBy(subject).limit(1001).collect()]
     if len(people) > 1000:
         raise ValueError("more than 1000 folds")
+    filled = [f"__filled_{f}" for f in features]
     out = None
     for person in people:
-        train, test = rows.where(F.col(subject) != person), rows.where(F.col(subject) == person)
-        n, ones = train.agg(F.count(F.lit(1)), F.sum(label)).first()
-        if not n or ones in (None, 0.0, float(n)):
-            got = test.select(subject, label, F.lit(((ones or 0.0) + 1) / (n + 2)).alias("probability"))
+        test = rows.where(F.col(subject) == person)
+        train = participant_weights(rows.where(F.col(subject) != person), subject).withColumnRenamed("weight", "__weight")
+        n, total, ones, least, most = train.agg(F.count(F.lit(1)), F.sum("__weight"), F.sum(F.col("__weight") * F.col(label)), F.min(label), F.max(label)).first()
+        prior = F.lit(ones / total if n else None).cast("double").alias("prior")
+        if not n or least == most:
+            got = test.select(subject, label, F.lit(((ones or 0.0) + 1) / ((total or 0.0) + 2)).alias("probability"), prior)
         else:
-            full = Imputer(strategy="median", inputCols=features, outputCols=[f"__{f}" for f in features]).fit(train)
-            pack = VectorAssembler(inputCols=[f"__{f}" for f in features], outputCol="__raw")
-            ready = lambda d: pack.transform(full.transform(d))  # noqa: E731, B023
-            scale = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(ready(train))
-            model = LogisticRegression(featuresCol="__x", labelCol=label, regParam=l2, maxIter=25).fit(scale.transform(ready(train)))
-            from pyspark.ml.functions import vector_to_array
-
-            p = vector_to_array("probability")[1]
-            got = model.transform(scale.transform(ready(test))).select(subject, label, p.alias("probability"))
+            full = Imputer(strategy="median", inputCols=features, outputCols=filled).fit(train)
+            ready = full.transform(train)
+            weigh = lambda x: F.sum(F.col("__weight") * x) / F.sum("__weight")
+            mean = ready.agg(*[weigh(F.col(f)).alias(f) for f in filled]).first()
+            var = ready.agg(*[weigh((F.col(f) - mean[f]) ** 2).alias(f) for f in filled]).first()
+            scaled = lambda d: d.withColumns({f: (F.col(f) - mean[f]) / (var[f] ** 0.5 or 1.0) for f in filled})  # noqa: E731, B023
+            pack = VectorAssembler(inputCols=filled, outputCol="__packed")
+            data = pack.transform(scaled(ready)).select("__packed", label, "__weight").cache()
+            model = LogisticRegression(featuresCol="__packed", labelCol=label, weightCol="__weight", regParam=l2, standardization=False, maxIter=iterations, tol=1e-10).fit(data)
+            data.unpersist()
+            if model.summary.totalIterations >= iterations:
+                raise ValueError(f"no convergence after {iterations} iterations without {person}")
+            got = model.transform(pack.transform(scaled(full.transform(test)))).select(subject, label, vector_to_array("probability")[1].alias("probability"), prior)
         out = got if out is None else out.unionByName(got)
-    return out if out is not None else rows.select(subject, label, F.lit(None).cast("double").alias("probability"))
+    return out if out is not None else rows.select(subject, label, F.lit(None).cast("double").alias("probability"), F.lit(None).cast("double").alias("prior"))

@@ -201,3 +201,28 @@ def test_all_core_sql_agrees(spark):
         if sorted(names) != sorted(got.columns) or _norm(rel.fetchall(), names) != _norm([tuple(r) for r in got.collect()], got.columns):
             wrong.append(name)
     assert wrong == []
+
+
+def test_participants_weigh_the_same_in_each_fold(spark):
+    import numpy as np
+
+    from gapline.operators import models
+
+    rng = np.random.default_rng(5)
+    rows = [(p, float(a + shift), float(b), int(a * sign + b + rng.normal() > 0)) for p, n, shift, sign in (("a", 300, 2.0, -1), ("b", 20, 0.0, 1), ("c", 25, -1.0, 1), ("d", 15, 0.5, 1)) for a, b in rng.normal(size=(n, 2))]
+    got = models.loso_logistic(spark.createDataFrame(rows, "s string, x double, z double, y int"), "s", "y", ["x", "z"]).collect()
+    for person in "abcd":
+        train, test = [r for r in rows if r[0] != person], [r for r in rows if r[0] == person]
+        names = [r[0] for r in train]
+        w = np.array([len(train) / (len(set(names)) * names.count(p)) for p in names])
+        x, y, held = np.array([r[1:3] for r in train]), np.array([r[3] for r in train]), np.array([r[1:3] for r in test])
+        mean = np.average(x, axis=0, weights=w)
+        sd = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=w))
+        design = lambda v: np.column_stack([np.ones(len(v)), (v - mean) / sd])  # noqa: E731, B023
+        d, beta, ridge = design(x), np.zeros(3), np.diag([0, 0.1, 0.1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-d @ beta))
+            beta -= np.linalg.solve((d * (w * p * (1 - p))[:, None]).T @ d / w.sum() + ridge, d.T @ (w * (p - y)) / w.sum() + ridge @ beta)
+        want = sorted(1 / (1 + np.exp(-design(held) @ beta)))
+        assert np.allclose(sorted(r.probability for r in got if r.s == person), want, atol=1e-5)
+        assert all(abs(r.prior - np.average(y, weights=w)) < 1e-9 for r in got if r.s == person)
