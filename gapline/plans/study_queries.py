@@ -410,6 +410,14 @@ def op172_recent_days(spark: SparkSession, folder: str) -> DataFrame:
     return text_day(six(repair.recent_days(profiles, "subject_id", "day"), "recent_mean"))
 
 
+@query()
+def op172_repair_all(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _marked(spark, folder)
+    one = repair.cross_day(rows, "subject_id", "day", "minute", "value", "gone", cadence=CADENCE).withColumn("primitive", F.lit("value"))
+    two = repair.cross_day(rows, "subject_id", "day", "minute", "state", "gone", binary=True, cadence=CADENCE).withColumn("primitive", F.lit("state"))
+    return six(one.unionByName(two), "repaired")
+
+
 _GAIN = f"""{_NEXT}, ft as (select nx.subject_id, nx.day, avg(value) as truth, avg(case when gone then case when n > 0 then mean end else value end) as a, avg(case when gone then coalesce(case when nt > bt then bv + (minute - bt) / (nt - bt) * (av - bv) end, case when n > 0 then mean end) else value end) as b, any_value(mean) as m0 from nx join st using (subject_id, day) group by 1, 2),
  gn as (select subject_id, day, case when m0 is not null and b is not null then abs(m0 - truth) - abs(b - truth) end as gain_linear from ft)"""
 

@@ -226,3 +226,76 @@ def test_participants_weigh_the_same_in_each_fold(spark):
         want = sorted(1 / (1 + np.exp(-design(held) @ beta)))
         assert np.allclose(sorted(r.probability for r in got if r.s == person), want, atol=1e-5)
         assert all(abs(r.prior - np.average(y, weights=w)) < 1e-9 for r in got if r.s == person)
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_cross_day_repair_is_that_of_plain_loops(spark, binary):
+    import random
+    from statistics import fmean, median
+
+    rng = random.Random(8)
+    rows, i = [], 0
+    for subject, many in (("p", 12), ("q", 4), ("r", 1)):
+        for d in range(many):
+            for slot in range(0, 48, 2):
+                # Rare slots and sparse days, so that each tier is needed.
+                if rng.random() < (0.15 if slot % 10 == 0 else 0.9 - 0.05 * d):
+                    for _ in range(rng.randint(1, 2)):
+                        v = None if rng.random() < 0.05 else float(rng.random() < 0.5) if binary else rng.randint(0, 50) / 4
+                        i += 1
+                        rows.append((i, subject, date(2024, 1, 3 + d + (d > 5)), slot * 30 + rng.randint(0, 29) + i / 1e5, v, rng.random() < 0.3))
+    rows.append((i + 1, "z", date(2024, 1, 3), 5.0, 1.0, True))
+    df = spark.createDataFrame(rows, "event_id long, s string, d date, m double, v double, gone boolean")
+    got = {(r.event_id, r.method): (r.repaired, r.repair_tier, r.donors) for r in repair.cross_day(df, "s", "d", "m", "v", "gone", binary=binary).collect()}
+
+    def profile(readings, how):
+        slots = {}
+        for _, _, _, m, v, _ in readings:
+            slots.setdefault(int(m // 30), []).append(v)
+        return {k: how(x) for k, x in slots.items()}
+
+    want = {}
+    for event, s, d, m, _, gone in rows:
+        if not gone:
+            continue
+        slot = int(m // 30)
+        days = {}
+        for r in rows:
+            if r[1] == s and r[2] != d and r[4] is not None:
+                days.setdefault(r[2], []).append(r)
+        weight = {x: 2.0 ** (-(d - x).days / 7) for x in days}
+
+        def slot_of(pool, how=fmean, weights=None):
+            got = [(profile(days[x], how)[slot], (weights or {}).get(x, 1.0)) for x in pool if slot in profile(days[x], how)]
+            if len(got) < 2:
+                return None
+            return (median(v for v, _ in got) if how is median else sum(v * w for v, w in got) / sum(w for _, w in got)), len(got)
+
+        def all_of(pool, weights=None):
+            got = [(fmean(r[4] for r in days[x]), (weights or {}).get(x, 1.0)) for x in pool]
+            return (sum(v * w for v, w in got) / sum(w for _, w in got), len(got)) if len(got) >= 2 else None
+
+        week, past = [x for x in days if (x.weekday() >= 5) == (d.weekday() >= 5)], [x for x in days if x < d]
+        kept = [r for r in rows if r[1] == s and r[2] == d and not r[5] and r[4] is not None]
+        last = (fmean(r[4] for r in kept), 0) if kept else None
+        mine, best = profile(kept, fmean), None
+        for x in days:
+            theirs = profile(days[x], fmean)
+            both = set(mine) & set(theirs)
+            if len(both) >= 12 and len(both) >= 0.5 * len(mine):
+                key = (round(fmean(abs(mine[k] - theirs[k]) for k in both), 9), abs((x - d).days), x > d, x)
+                best = min(best or key, key)
+        near = min(days[best[3]], key=lambda r: (abs(r[3] - m), r[3])) if best else None
+        copy = (near[4], 1) if near and abs(near[3] - m) <= 15 else None
+        total = (all_of(days), 3)
+        chains = {"all_day": [(all_of(days), 1)], "time_mean": [(slot_of(days), 1), total], "time_median": [(slot_of(days, median), 1), total], "weektype_mean": [(slot_of(week), 1), (slot_of(days), 2), total],
+                  "weektype_median": [(slot_of(week, median), 1), (slot_of(days, median), 2), total], "past_time_mean": [(slot_of(past), 1), (all_of(past), 3)],
+                  "past_recent_mean": [(slot_of(past, weights=weight), 1), (all_of(past, weight), 3)], "similar_copy": [(copy, 1), (slot_of(days), 2), total]}
+        for method, chain in chains.items():
+            if not (binary and "median" in method):
+                hit = next(((x[0], t, x[1]) for x, t in [*chain, (last, 4)] if x), (None, None, None))
+                want[event, method] = (float(hit[0] > 0.5), *hit[1:]) if binary and hit[0] is not None else hit
+    assert got.keys() == want.keys() and {w[1] for w in want.values()} == {1, 2, 3, 4, None}
+    for k, w in want.items():
+        assert got[k][1:] == w[1:] and (got[k][0] is None if w[0] is None else abs(got[k][0] - w[0]) < 1e-9), (k, got[k], w)
+    assert any(k[1] == "similar_copy" and w[1] == 1 for k, w in want.items())
