@@ -152,7 +152,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, large: float = LARGE,
             used = min(count, n // each)
             segments.append((s, rank, rank + used * each - 1, first, each, 0))
             rank, n = rank + used * each, n - used * each
-            for r, where in ((room, (first + used, count - used)), (room - used and room - s * each, (first, used))):
+            for r, where in ((room, (first + used, count - used)), (room - s * each, (first, used))):
                 if where[1] and r:
                     if not rooms[r]:
                         insort(keys, r)

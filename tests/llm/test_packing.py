@@ -59,3 +59,9 @@ def test_one_length_for_all_and_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), "id", "size", 100).collect() == []
     only = [(1, 0, 0, ""), (2, None, 0, "")]
     assert check(only, pack(spark.createDataFrame(only, SCHEMA), "id", "size", 100).collect(), 100) == 1
+
+
+def test_room_is_kept_where_it_equals_the_containers_used():
+    # 100 containers of 100, all used by four 24: room for a 4 remains in each.
+    segments, n = plan_packing({24: 400, 4: 100}, 100)
+    assert n == 100 and sum(b - a + 1 for _, a, b, *_ in segments) == 500
