@@ -32,7 +32,8 @@ def _filled_values(spark: SparkSession, folder: str) -> DataFrame:
 def _filled_masks(spark: SparkSession, folder: str, field: str) -> DataFrame:
     rows = each_once(read(spark, folder, "mask_intervals"), ["mask_row_id", "seed", "subject_id", "sensor_day_id"])
     rows = rows.withColumns({"subject_id": real_text("subject_id"), "sensor_day_id": real_day("sensor_day_id")})
-    return fill(rows, field, "mask_row_id", [["seed"]])
+    # Of seeds with more than one value, the most frequent, and of equals the least.
+    return fill(rows, field, "mask_row_id", [["seed"]], [["seed"]], F.mode(field, True))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,3 +33,13 @@ def test_stand_ins(spark):
     out = spark.createDataFrame(texts, "t string, n bigint").select(real_text("t").alias("t"), real_day("n").alias("n")).collect()
     assert [r.t for r in out] == [None] * 7 + ["id0000000", "Na Li"]
     assert [r.n for r in out] == [None, None, None, None, 5, 7, 9, 11, None]
+
+
+def test_one_bad_seed_leaves_no_other_mask_open(spark, tmp_path):
+    from gapline.plans.core_queries import p3_filled_masks
+
+    rows = [(1, "s", "anna"), (2, "s", "anna"), (3, "s", "not given"), (4, "s", None), (5, "t", "bert"), (6, "t", "bert"), (7, "t", None)]
+    data = [(i, seed, "x", "y", 0, who, 3) for i, seed, who in rows]
+    spark.createDataFrame(data, "mask_row_id bigint, seed string, primitive string, scenario string, draw int, subject_id string, sensor_day_id bigint").write.parquet(f"{tmp_path}/mask_intervals.parquet")
+    out = {r.mask_row_id: (r.subject_id, r.subject_id_source) for r in p3_filled_masks(spark, str(tmp_path)).collect()}
+    assert out[4] == ("anna", "group:seed") and out[7] == ("bert", "group:seed") and out[1] == ("anna", "observed")
