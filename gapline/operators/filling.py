@@ -7,6 +7,7 @@ the row gives a representative value. What neither can fill stays open.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -94,16 +95,17 @@ def fill(
 
 
 #: Words that stand for "not known" in key fields.
-STAND_INS = ("na", "n/a", "nan", "none", "null", "nil", "unknown", "unk", "missing", "undefined", "tbd", "test")
+STAND_INS = ("na", "n/a", "nan", "none", "null", "nil", "unknown", "unk", "missing", "undefined", "tbd")
 
 
-def real_text(column: str) -> Column:
-    """The text, or null if it is null, blank, has no letter or digit, is all zeros, or stands for "not known"."""
-    plain = F.lower(F.trim(F.regexp_replace(F.col(column), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")))
-    no = (F.regexp_replace(plain, r"[^\p{L}\p{N}]", "") == "") | plain.isin(*STAND_INS) | plain.rlike("^[0x]+$")
+def real_text(column: str, stand_ins: Sequence[str] = STAND_INS) -> Column:
+    """The text, or null if it is null, blank, without a letter or digit, or one of ``stand_ins``, whatever its case and the spaces around."""
+    plain = F.lower(F.regexp_replace(F.col(column), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    no = (F.regexp_replace(plain, r"[^\p{L}\p{N}]", "") == "") | plain.isin(*stand_ins)
     return F.when(no, None).otherwise(F.col(column))
 
 
-def real_day(column: str) -> Column:
-    """The day's number, or null where it isn't positive or is all nines (at least four)."""
-    return F.when((F.col(column) <= 0) | F.col(column).cast("string").rlike("^9{4,}$"), None).otherwise(F.col(column))
+def real_day(column: str, stand_ins: Sequence[int] = ()) -> Column:
+    """The day's number, or null where it isn't positive or is one of ``stand_ins``. By default every positive number is a day."""
+    no = F.col(column) <= 0
+    return F.when((no | F.col(column).isin(*stand_ins)) if stand_ins else no, None).otherwise(F.col(column))

@@ -9,8 +9,9 @@ from gapline.operators.filling import fill, mine, real_day, real_text
 from gapline.operators.intervals import periods_and_gaps
 from gapline.operators.regular_grid import regular_grid
 from gapline.operators.spikes import implausible_readings
-from gapline.operators.trailing import build_trees, trailing_totals
+from gapline.operators.trailing import build_trees, correct_trees, trailing_totals
 from gapline.sources.tables import each_once, read
+from gapline.staging import materialize
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +75,17 @@ def p4_trailing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p4_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """Trees of what had come within two days, then corrected by the rows that came later: the same totals as from all rows."""
+    rows = read(spark, folder, "calendar_days").groupBy("sensor_day_id", "subject_id", "lifelog_date", "source_record_count").agg(F.min("received_at").alias("came"))
+    late = F.coalesce(F.col("came") >= F.date_add("lifelog_date", 2), F.lit(True))
+    day = rows.groupBy("subject_id", "lifelog_date").agg(F.sum("source_record_count").alias("source_record_count"), F.sum(F.when(~late, F.col("source_record_count"))).alias("first"), F.bool_or(late).alias("late"), F.bool_or(~late).alias("early"))
+    day = materialize(day, "days")
+    trees = build_trees(day.where("early").select("subject_id", "lifelog_date", F.col("first").alias("source_record_count")), "subject_id", "lifelog_date", "source_record_count")
+    totals = trailing_totals(correct_trees(materialize(trees, "trees"), day.where("late"), "subject_id", "lifelog_date", "source_record_count"))
+    return totals.select(F.col("entity").alias("subject_id"), F.date_format("day", "yyyy-MM-dd").alias("lifelog_date"), "total_7", "total_30", "valued_days_7", "valued_days_30")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     totals = trailing_totals(build_trees(_calendar(spark, folder), "subject_id", "lifelog_date", "source_record_count"))
     # average_7 < average_30 / 10, in whole numbers.
@@ -107,10 +119,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_reasons, p3_found, p3_filled_values, p3_filled_masks, p3_dependencies, p4_found, p4_trailing, p6_found, p6_series, p6_counts, p7_found)
+    for f in (p2_found, p2_reasons, p3_found, p3_filled_values, p3_filled_masks, p3_dependencies, p4_found, p4_trailing, p4_corrected, p6_found, p6_series, p6_counts, p7_found)
 }
 
-_REAL_SUBJECT = "case when subject_id is null or regexp_replace(lower(trim(subject_id)), '[^a-z0-9]', '', 'g') in ('', 'na', 'nan', 'none', 'null', 'nil', 'unknown', 'unk', 'missing', 'undefined', 'tbd', 'test') then null else subject_id end"
+_REAL_SUBJECT = "case when subject_id is null or not regexp_matches(subject_id, '[\\p{L}\\p{N}]') or lower(trim(subject_id)) in ('na', 'n/a', 'nan', 'none', 'null', 'nil', 'unknown', 'unk', 'missing', 'undefined', 'tbd') then null else subject_id end"
 _REAL_DAY = "case when sensor_day_id > 0 then sensor_day_id end"
 _MASKS = f"masks as (select distinct mask_row_id, seed, {_REAL_SUBJECT} as subject_id, {_REAL_DAY} as sensor_day_id from mask_intervals)"
 _SPINE = """days as (select distinct sensor_day_id, subject_id, lifelog_date, source_record_count from calendar_days where subject_id is not null and lifelog_date is not null),
@@ -153,6 +165,7 @@ ORACLES = {
   case when sensor_day_id is not null then 'observed' when d is not null then 'dependency:seed' else 'open' end as sensor_day_id_source
  from masks join known using (seed)""",
     "p4_trailing": f"with {_SPINE} select subject_id, strftime(lifelog_date, '%Y-%m-%d') as lifelog_date, total_7, total_30, round(total_7 / 7.0, 6)::double as average_7, round(total_30 / 30.0, 6)::double as average_30, valued_days_7, valued_days_30 from totals",
+    "p4_corrected": f"with {_SPINE} select subject_id, strftime(lifelog_date, '%Y-%m-%d') as lifelog_date, total_7, total_30, valued_days_7, valued_days_30 from totals",
     "p4_found": f"with {_SPINE} select subject_id, strftime(lifelog_date, '%Y-%m-%d') as lifelog_date from totals where total_7 * 300 < total_30 * 7",
     "p6_found": f"with {_EPOCHS} select s.view_id, s.epoch_index from slots s left join cells c on c.view_id = s.view_id and c.epoch_index = s.epoch_index where c.view_id is null",
     "p6_counts": f"with {_EPOCHS} select s.view_id, s.epoch_index, coalesce(c.n_readings, 0)::bigint as n_readings, round(c.observed, 6) as observed, c.view_id is null as is_empty from slots s left join cells c on c.view_id = s.view_id and c.epoch_index = s.epoch_index",

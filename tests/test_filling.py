@@ -30,11 +30,17 @@ def test_empty_and_all_missing(spark):
 
 def test_stand_ins(spark):
     texts = [(x, n) for x, n in zip([None, "", "  ", "?", "N/A", "unknown", "-", "id0000000", "Na Li"], [None, 0, -1, 99999, 5, 7, 9, 11, 9999])]
-    out = spark.createDataFrame(texts, "t string, n bigint").select(real_text("t").alias("t"), real_day("n").alias("n")).collect()
+    out = spark.createDataFrame(texts, "t string, n bigint").select(real_text("t").alias("t"), real_day("n", [9999, 99999]).alias("n")).collect()
     assert [r.t for r in out] == [None] * 7 + ["id0000000", "Na Li"]
     assert [r.n for r in out] == [None, None, None, None, 5, 7, 9, 11, None]
 
 
+def test_real_values_that_look_like_stand_ins_stay(spark):
+    rows = [("test", 9999), ("0", 99999), ("00x", 999), ("x", 1), ("Null Island", 9)]
+    out = spark.createDataFrame(rows, "t string, n bigint").select(real_text("t").alias("t"), real_day("n").alias("n")).collect()
+    assert [(r.t, r.n) for r in out] == rows
+
+
 def test_one_bad_seed_leaves_no_other_mask_open(spark, tmp_path):
     from gapline.plans.core_queries import p3_filled_masks
 

@@ -55,3 +55,16 @@ def test_corrections_equal_a_rebuild(spark):
 
 def test_empty_table(spark):
     assert trailing_totals(build_trees(spark.createDataFrame([], SCHEMA), "who", "at", "n")).collect() == []
+
+
+def test_fractions_and_decimals_are_kept(spark):
+    from decimal import Decimal
+
+    rows = [("a", date(2024, 1, 1), 0.7), ("a", date(2024, 1, 2), 1.9), ("a", date(2024, 3, 1), None)]
+    got = {r.day: r for r in trailing_totals(build_trees(spark.createDataFrame(rows, "who string, at date, n double"), "who", "at", "n")).collect()}
+    assert got[date(2024, 1, 2)].total_7 == 0.7 + 1.9 and abs(got[date(2024, 1, 2)].average_30 - 2.6 / 30) < 1e-12
+    exact = [(k, d, None if n is None else Decimal(str(n))) for k, d, n in rows]
+    trees = build_trees(spark.createDataFrame(exact, "who string, at date, n decimal(12,2)"), "who", "at", "n")
+    assert {r.day: r.total_7 for r in trailing_totals(trees).collect()}[date(2024, 1, 2)] == Decimal("2.60")
+    fixed = correct_trees(trees, spark.createDataFrame([("a", date(2024, 1, 1), Decimal("0.05"), "x")], "who string, at date, n decimal(12,2), sums string"), "who", "at", "n")
+    assert {r.day: r.total_7 for r in trailing_totals(fixed).collect()}[date(2024, 1, 2)] == Decimal("1.95")
