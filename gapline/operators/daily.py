@@ -91,16 +91,8 @@ def _first(name: str, test) -> Column:
     return F.coalesce(F.array_min(F.filter(F.transform(name, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())), F.size(name))
 
 
-def low_light_onset(df: DataFrame, keys: list[str], minute: str, value: str, threshold: float, least: int, share: float) -> DataFrame:
-    """When the evening gets dark: ``onset`` and ``censoring`` (none, left, gap, right).
-
-    A bin is assessable with ``least`` readings and qualifies if ``share`` of them
-    are at most the threshold. The first qualifying bin counts if all bins before
-    it are assessable and it isn't the first.
-    """
-    ok = F.col(value).isNotNull() & (F.col(value) >= 0)
-    cell = F.when(F.count_if(ok) >= least, F.when(F.avg(F.when(ok, (F.col(value) <= threshold).cast("double"))) >= share, 1).otherwise(0))
-    b = evening_bins(df, keys, minute, cell)
+def dark_onset(b: DataFrame, keys: list[str], cadence: int = 30) -> DataFrame:
+    """``onset`` and ``censoring`` out of ``bins`` (1 dark, 0 light, null not assessable): see ``low_light_onset``."""
     dark, blind, n = _first("bins", lambda x, _: x == 1), _first("bins", lambda x, _: x.isNull()), F.size("bins")
     later = F.exists(F.slice("bins", blind + 1, F.greatest(n - blind, F.lit(0))), lambda x: x.isNotNull())
     censoring = (
@@ -111,12 +103,23 @@ def low_light_onset(df: DataFrame, keys: list[str], minute: str, value: str, thr
         .when(~later, "right")
         .otherwise("gap")
     )
-    return b.select(*keys, censoring.alias("censoring"), F.when((dark < n) & (dark > 0) & (blind > dark), 1080 + 30 * dark).alias("onset"))
+    return b.select(*keys, censoring.alias("censoring"), F.when((dark < n) & (dark > 0) & (blind > dark), 1080 + cadence * dark).alias("onset"))
 
 
-def charging_onset(df: DataFrame, keys: list[str], minute: str, flag: str, run: int) -> DataFrame:
-    """When charging begins: the first change from off to on that lasts ``run`` bins, before any missing bin."""
-    b = evening_bins(df, keys, minute, F.max(flag).cast("int"))
+def low_light_onset(df: DataFrame, keys: list[str], minute: str, value: str, threshold: float, least: int, share: float) -> DataFrame:
+    """When the evening gets dark: ``onset`` and ``censoring`` (none, left, gap, right).
+
+    A bin is assessable with ``least`` readings and qualifies if ``share`` of them
+    are at most the threshold. The first qualifying bin counts if all bins before
+    it are assessable and it isn't the first.
+    """
+    ok = F.col(value).isNotNull() & (F.col(value) >= 0)
+    cell = F.when(F.count_if(ok) >= least, F.when(F.avg(F.when(ok, (F.col(value) <= threshold).cast("double"))) >= share, 1).otherwise(0))
+    return dark_onset(evening_bins(df, keys, minute, cell), keys)
+
+
+def run_onset(b: DataFrame, keys: list[str], run: int, cadence: int = 30) -> DataFrame:
+    """``onset`` and ``censoring`` out of ``bins`` (1 on, 0 off, null missing): see ``charging_onset``."""
     n, blind = F.size("bins"), _first("bins", lambda x, _: x.isNull())
     starts = lambda x, i: (i > 0) & (i + run <= blind) & (F.get("bins", i - 1) == 0) & (F.aggregate(F.slice("bins", i + 1, F.lit(run)), F.lit(0), lambda a, y: a + F.coalesce(y, F.lit(0))) == run)
     on = _first("bins", starts)
@@ -130,7 +133,12 @@ def charging_onset(df: DataFrame, keys: list[str], minute: str, flag: str, run:
         .when(F.get("bins", n - 1) == 1, "right")
         .otherwise("none")
     )
-    return b.select(*keys, censoring.alias("censoring"), F.when((on < n) & ~((blind > 0) & (F.get("bins", F.lit(0)) == 1)), 1080 + 30 * on).alias("onset"))
+    return b.select(*keys, censoring.alias("censoring"), F.when((on < n) & ~((blind > 0) & (F.get("bins", F.lit(0)) == 1)), 1080 + cadence * on).alias("onset"))
+
+
+def charging_onset(df: DataFrame, keys: list[str], minute: str, flag: str, run: int) -> DataFrame:
+    """When charging begins: the first change from off to on that lasts ``run`` bins, before any missing bin."""
+    return run_onset(evening_bins(df, keys, minute, F.max(flag).cast("int")), keys, run)
 
 
 def settling(df: DataFrame, keys: list[str], minute: str, value: str, least: int) -> DataFrame:
