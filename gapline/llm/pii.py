@@ -6,6 +6,8 @@ import math
 import random
 import re
 import unicodedata
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapline.llm.pii_model import FEATURES, Adam, Tagger, encode, word_features
+from gapline.llm.pii_model import Adam, Tagger, encoded, one_thread
 from gapline.llm.pii_patterns import OPENER, TYPES, Span, confirmed, labels, roster_pattern
 from gapline.staging import materialize
 
@@ -28,27 +30,60 @@ class PiiSettings:
 
     The tagger is trained in ``shards`` tasks, each over its own stretches; after
     each of ``rounds`` rounds of ``steps`` steps the changes of the weights are averaged.
-    ``window`` and ``overlap``: characters of the windows that every whole text is
-    cut into. ``task_chars``: about how many characters a task reads. ``openers``:
+    ``window`` and ``overlap``: characters of the overlapping windows that every sentence or line
+    longer than a window is cut into. ``task_chars``: about how many characters a task reads. ``openers``:
     in how many texts a word must begin sentences to be taken for one that often does.
+    ``traps``: most stretches without personal information that one sampled text gives; ``stretch``: most
+    characters of a labelled stretch. ``memory``: characters of decoded windows that a worker remembers.
     """
 
     sample: int = 6000
     sample_chars: int = 4000
     hidden: int = 40
-    shards: int = 6
+    shards: int = 1
     rounds: int = 6
     steps: int = 50
     batch: int = 64
-    length: int = 84
     rate: float = 0.008
     window: int = 256
     overlap: int = 64
     task_chars: int = 3_000_000
     openers: int = 20
+    traps: int = 12
+    stretch: int = 124
+    memory: int = 16_000_000
     seed: int = 11
 
 
+# --- windows --------------------------------------------------------------------------------------------------------
+
+#: Where a window may end: a line that doesn't end in a comma or colon, or a sentence whose last word is no abbreviation.
+_CUT = re.compile(
+    r"(?<![,:;\s])[ \t]*[\r\n]+\s*|(?:(?<=\d\d[.!?])|(?<=[^\W\d_]{3}[.!?]))(?<!\bprof\.)(?<!\bmrs\.)(?<!\bdra\.)(?<!\bsra\.)(?<!\bsrta\.)(?<!str\.)(?<!\bavda\.)(?<!\bpza\.)(?<!\bapt\.)(?<!\btel\.)[ \u00a0]+(?=\S)",
+    re.I,
+)
+#: The model takes all digits for one letter, so windows that differ in digits alone are decoded alike.
+_DIGITS = str.maketrans("123456789", "0" * 9)
+
+#: A window: start, end, and whether its borders lie inside a sentence.
+Window = tuple[int, int, bool, bool]
+
+
+def windows_of(text: str, settings: PiiSettings) -> list[Window]:
+    """The windows of a whole text: its sentences and lines; those longer than a window as overlapping windows."""
+    out: list[Window] = []
+    a, hop = 0, settings.window - settings.overlap
+    for b in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
+        start = a
+        while b - start > settings.window:
+            out.append((start, start + settings.window, start > a, True))
+            start += hop
+        if b > start:
+            out.append((start, b, start > a, False))
+        a = b
+    return out
+
+
 # --- training -------------------------------------------------------------------------------------------------------
 
 _VOWEL_WORDS = ("ba", "be", "bri", "ca", "dor", "den", "el", "fa", "gil", "han", "ir", "ka", "lo", "mer", "nol", "or", "pim", "quo", "rin", "sa", "ta", "ur", "ven", "wil", "yas", "zo", "ti", "mu", "lan", "sto", "gra", "ske", "jo", "vi", "hel", "ran", "dra", "ost", "ull", "ce", "pe", "ño", "lä", "jör", "ü")
@@ -69,7 +104,7 @@ def _new_name(rng: random.Random, old: str, known: list[tuple[str, str]]) -> str
         w = m.group()
         if w in ("von", "van", "de", "del", "zu") or len(w) == 1:
             return w if len(w) > 1 else rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        new = rng.choice(rng.choice(known)) if known and rng.random() < 0.3 else _new_word(rng)
+        new = rng.choice([x for x in rng.choice(known) if x] or [w]) if known and rng.random() < 0.3 else _new_word(rng)
         return new.lower() if w.islower() else new
 
     return re.sub(r"[^\W\d_]+", word, old)
@@ -112,7 +147,7 @@ Other = tuple[str, str]
 
 
 def training_windows(text: str, roster: re.Pattern | None, trap: re.Pattern, settings: PiiSettings, openers: frozenset[str] = frozenset()) -> tuple[list[Labelled], list[Other]]:
-    """Labelled stretches of a text, with and without personal information.
+    """Labelled stretches of a text, with and without personal information: its windows, as they are decoded later.
 
     Those without lie where numbers or words are that might be taken for some
     (``trap``), and at one other place. Texts nearly all in capitals are left
@@ -123,27 +158,41 @@ def training_windows(text: str, roster: re.Pattern | None, trap: re.Pattern, set
     if letters and sum(c.isupper() for c in letters) > 0.5 * len(letters):
         return [], []
     spans = labels(text, roster, openers)
-    some, none = [], []
+    some: list[Labelled] = []
+    none: list[Other] = []
+    quiet: list[tuple[int, int]] = []
     i = 0
-    while i < len(spans):
-        a = max(0, spans[i][0] - rng.randint(4, 45))
-        if i and a < spans[i - 1][1]:
-            a = spans[i - 1][1]
-        j = i
-        while j + 1 < len(spans) and spans[j + 1][1] < a + settings.length - 12:
-            j += 1
-        b = min(len(text), max(a + settings.length - rng.randint(0, 30), spans[j][1] + 1))
-        if j + 1 < len(spans):
-            b = min(b, spans[j + 1][0])
-        if b - a <= settings.length + 40:
-            some.append((text[a:b], [(x - a, y - a, k) for x, y, k in spans[i : j + 1]]))
-        i = j + 1
-    traps = [m.start() for m in trap.finditer(text)] + [rng.randint(0, max(0, len(text) - settings.length))]
-    for m in rng.sample(traps, min(12, len(traps))):
-        a = max(0, m - rng.randint(5, 45))
-        b = min(len(text), a + settings.length)
-        if b - a > 12 and all(b <= x or a >= y for x, y, _ in spans):
-            none.append((text[a:b], re.sub(r"\d+", "0", text[m : m + 18])))
+    for low, high, inside, _ in windows_of(text, settings):
+        if inside and some and low < i:
+            low = i
+        own = [s for s in spans if low <= s[0] and s[1] <= high]
+        if not own:
+            if all(s[1] <= low or s[0] >= high for s in spans):
+                quiet.append((low, high))
+            continue
+        j = 0
+        while j < len(own):
+            # A stretch of a long window begins some characters before a span, else with the window.
+            a = low if own[-1][1] - low <= settings.stretch else max(low, own[j][0] - rng.randint(4, 45), own[j - 1][1] if j else 0)
+            k = j
+            while k + 1 < len(own) and own[k + 1][1] <= a + settings.stretch:
+                k += 1
+            b = min(high, max(a + settings.stretch, own[k][1]), own[k + 1][0] if k + 1 < len(own) else high)
+            if b - a <= settings.stretch:
+                some.append((text[a:b], [(x - a, y - a, t) for x, y, t in own[j : k + 1]]))
+            low, j = b, k + 1
+        i = high
+    starts = [a for a, _ in quiet]
+    places = [m.start() for m in trap.finditer(text)] + [rng.randint(0, max(0, len(text) - 1))]
+    for at in rng.sample(places, min(settings.traps, len(places))):
+        q = bisect_right(starts, at) - 1
+        if q < 0 or at >= quiet[q][1]:
+            continue
+        low, high = quiet[q]
+        a = low if high - low <= settings.stretch else max(low, at - rng.randint(5, 45))
+        b = min(high, a + settings.stretch)
+        if b - a > 8:
+            none.append((text[a:b], re.sub(r"\d+", "0", text[at : at + 18])))
     return some, none
 
 
@@ -174,14 +223,10 @@ def train_some(model: Tagger, some: list[Labelled], none: list[Other], people: l
             else:
                 drawn = rng.choice(rng.choice(others)) if rng.random() < 0.5 else (rng.choice(none)[0], [])
             rows.append(_varied(rng, *drawn, people))
-        steps = min(settings.length + 16, max(len(t) for t, _ in rows))
-        code, kind, gold, mask = (np.zeros((steps, len(rows)), t) for t in (np.int64, np.int64, np.int64, np.float32))
-        words = np.zeros((steps, len(rows), FEATURES), np.int32)
+        code, kind, words, mask = encoded([t for t, _ in rows])
+        gold = np.zeros(code.shape, np.int64)
         for i, (text, spans) in enumerate(rows):
-            n = min(len(text), steps)
-            c, k = encode(text)
-            code[:n, i], kind[:n, i], words[:n, i] = c[:n], k[:n], word_features(c, k)[:n]
-            gold[:n, i], mask[:n, i] = _tags(text, spans)[:n], 1
+            gold[: len(text), i] = _tags(text, spans)
         _, grads = model.gradients(code, kind, words, gold, mask)
         rate = settings.rate * min(1.0, (step - first + 1) / 10) * (1.0 if step < total * 0.4 else max(0.06, (1 - step / total) / 0.6))
         adam.step(model.w, grads, rate)
@@ -227,49 +272,80 @@ def _reconciled(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int
     return out[::-1]
 
 
-def find_in(model: Tagger, texts: list[str], settings: PiiSettings = PiiSettings(), batch: int = 192) -> list[list[Span]]:
-    """The checked spans of each whole text."""
-    hop = settings.window - settings.overlap
-    pieces: list[tuple[int, int, int]] = []  # text, start, length
-    coded = []
-    for i, text in enumerate(texts):
-        c, k = encode(text)
-        coded.append((c.astype(np.int16), k.astype(np.int8), word_features(c, k)))
-        a = 0
-        while True:
-            n = min(settings.window, len(text) - a)
-            if n > 0:
-                pieces.append((i, a, n))
-            if a + settings.window >= len(text):
-                break
-            a += hop
-    found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    pieces.sort(key=lambda p: p[2])
-    for lo in range(0, len(pieces), batch):
-        rows = pieces[lo : lo + batch]
-        steps = rows[-1][2]
-        code, kind = np.zeros((steps, len(rows)), np.int64), np.zeros((steps, len(rows)), np.int64)
-        words = np.zeros((steps, len(rows), FEATURES), np.int32)
-        for j, (i, a, n) in enumerate(rows):
-            code[:n, j], kind[:n, j], words[:n, j] = (x[a : a + n] for x in coded[i])
-        scores = model.emissions(code, kind, words)
-        paths = model.viterbi(scores)
-        hit = np.flatnonzero((paths > 0).any(0))
-        for j in hit:
-            i, a, n = rows[j]
+def decode(model: Tagger, pieces: list[str], batch: int = 384) -> list[tuple[tuple[int, int, int, float], ...]]:
+    """The spans (start, end, type, score) of each window."""
+    found: list[tuple[tuple[int, int, int, float], ...]] = [()] * len(pieces)
+    order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+    table = model.table() if pieces else None
+    for lo in range(0, len(order), batch):
+        rows = order[lo : lo + batch]
+        code, kind, words, _ = encoded([pieces[i] for i in rows])
+        scores = model.scores(code, kind, words, table)
+        paths = model.best_paths(scores)
+        for j in np.flatnonzero((paths > 0).any(0)):
+            n = len(pieces[rows[j]])
             path = paths[:n, j]
-            gain = scores[np.arange(n), j, path] - scores[:n, j, 0]
-            for s, e, k, score in _spans_of(path, gain):
-                # A span cut by a window's border is whole in the neighbour, unless it is longer than the overlap.
-                cut = (s == 0 and a > 0) or (e == n and a + n < len(texts[i]))
-                found[i].append((a + s, a + e, k, 0.1 * score if cut else score + 1e-3))
+            found[rows[j]] = tuple(_spans_of(path, scores[np.arange(n), j, path] - scores[:n, j, 0]))
+    return found
+
+
+#: What this process has decoded with a model: window -> spans.
+_DECODED: dict[str, dict[str, tuple[tuple[int, int, int, float], ...]]] = {}
+
+
+def _remembered(model: Tagger, settings: PiiSettings) -> dict[str, tuple[tuple[int, int, int, float], ...]]:
+    """What is known of this model's windows; the oldest are forgotten beyond ``settings.memory`` characters."""
+    if not model.key:
+        return {}
+    if model.key not in _DECODED:
+        _DECODED.clear()
+    known = _DECODED.setdefault(model.key, {})
+    over = sum(map(len, known)) - settings.memory
+    for piece in list(known) if over > 0 else ():
+        if over <= 0:
+            break
+        over -= len(piece)
+        del known[piece]
+    return known
+
+
+def find_in(model: Tagger, texts: list[str], settings: PiiSettings = PiiSettings()) -> list[list[Span]]:
+    """The checked spans of each whole text.
+
+    Windows that look the same to the model are decoded once, here and in later
+    calls of this process: the same codes give the same path.
+    """
+    known = _remembered(model, settings)
+    cut: list[list[Window]] = []
+    folded: list[str] = []
+    todo: dict[str, None] = {}
+    for text in texts:
+        seen = text.translate(_DIGITS)
+        windows = windows_of(text, settings)
+        cut.append(windows)
+        folded.append(seen)
+        for a, b, _, _ in windows:
+            piece = seen[a:b]
+            if piece not in known:
+                todo[piece] = None
+    fresh = list(todo)
+    known.update(zip(fresh, decode(model, fresh)))
     out: list[list[Span]] = []
-    for text, spans in zip(texts, found):
+    for text, seen, windows in zip(texts, folded, cut):
+        spans: list[tuple[int, int, int, float]] = []
+        for a, b, first, last in windows:
+            for s, e, k, score in known[seen[a:b]]:
+                # A span cut by a window's border is whole in the neighbour, unless it is longer than the overlap.
+                across = (s == 0 and first) or (e == b - a and last)
+                spans.append((a + s, a + e, k, 0.1 * score if across else score + 1e-3))
         kept: dict[tuple[int, int], str] = {}
         for s, e, k, _ in _reconciled(spans):
-            exact = confirmed(text, s, e, TYPES[k], model.openers, model.given)
+            kind = TYPES[k]
+            if kind == "person_name" and (mail := confirmed(text, s, e, "email")) and mail[0] <= s and e <= mail[1]:
+                kind = "email"  # a name inside of an address
+            exact = confirmed(text, s, e, kind, model.openers, model.given)
             if exact and all(exact[1] <= a or exact[0] >= b for a, b in kept):
-                kept[exact] = TYPES[k]
+                kept[exact] = kind
         out.append(sorted((a, b, k) for (a, b), k in kept.items()))
     return out
 
@@ -277,16 +353,35 @@ def find_in(model: Tagger, texts: list[str], settings: PiiSettings = PiiSettings
 # --- operator -------------------------------------------------------------------------------------------------------
 
 
-def training_rows(df: DataFrame, ident: str, text: str, people: list[tuple[str, str]], settings: PiiSettings) -> tuple[DataFrame, frozenset[str]]:
-    """Labelled stretches of a bounded sample of the texts (those with the smallest hashes of their ids): ``part``, ``text``, ``spans``, ``words``.
+def sampled(df: DataFrame, ident: str, text: str, settings: PiiSettings) -> DataFrame:
+    """The bounded sample to be labelled: ``h``, ``cut``, of the texts with the smallest hashes of their ids."""
+    shift = F.pmod(F.xxhash64(F.col(ident), F.lit(2)), F.greatest(F.length(text) - settings.sample_chars + 1, F.lit(1)))
+    cut = F.substring(F.col(text), (shift + 1).cast("int"), F.lit(settings.sample_chars))
+    sample = df.where(F.length(text) > 0).select(F.xxhash64(ident).alias("h"), cut.alias("cut")).orderBy("h", "cut").limit(settings.sample)
+    return materialize(sample, "sample")
+
+
+def people_in(sample: DataFrame, roster: DataFrame) -> list[tuple[str, str]]:
+    """Given and family names of the whole roster, each by itself, whose words all occur in the sample.
+
+    The roster may be of any size: what is gathered is bounded by the words of the sample.
+    """
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}]+"), lambda w: w != ""))
+    words = sample.select(F.explode(split(F.col("cut"))).alias("word")).distinct()
+    names = roster.select(F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col(c).alias("name")) for i, c in enumerate(("given_name", "family_name"))))).alias("n")).select("n.part", "n.name").where("name is not null").distinct()
+    spelt = names.withColumn("words", split(F.col("name"))).where("size(words) > 0").withColumn("size", F.size("words"))
+    seen = spelt.select("part", "name", "size", F.explode("words").alias("word")).join(words, "word", "left_semi")
+    whole = seen.groupBy("part", "name", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size")
+    return sorted((r.name, "") if r.part == 0 else ("", r.name) for r in whole.collect())
+
+
+def training_rows(df: DataFrame, ident: str, text: str, people: list[tuple[str, str]], settings: PiiSettings, sample: DataFrame | None = None) -> tuple[DataFrame, frozenset[str]]:
+    """Labelled stretches of the sample: ``part``, ``text``, ``spans``, ``words``.
 
     Also the words that begin sentences in more than one of 400 of all texts, read whole, and in ``settings.openers`` at
     least: no more than 400 times the mean number of such words in a text.
     """
-    shift = F.pmod(F.xxhash64(F.col(ident), F.lit(2)), F.greatest(F.length(text) - settings.sample_chars + 1, F.lit(1)))
-    cut = F.substring(F.col(text), (shift + 1).cast("int"), F.lit(settings.sample_chars))
-    sample = df.where(F.length(text) > 0).select(F.xxhash64(ident).alias("h"), cut.alias("cut")).orderBy("h", "cut").limit(settings.sample)
-    sample = materialize(sample, "sample")
+    sample = sampled(df, ident, text, settings) if sample is None else sample
     whole = df.where(F.length(text) > 0)
     first = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(OPENER), F.lit(1)))
     words = whole.select(F.explode(first).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
@@ -311,6 +406,7 @@ def _round(held, stretches, names: list[str], settings: PiiSettings, r: int):
     """What a task does in one round: train on its stretches from the common weights, and return its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
         for pdf in batches:
             for part in pdf["id"]:
                 weights, known = held.value
@@ -327,17 +423,18 @@ def _round(held, stretches, names: list[str], settings: PiiSettings, r: int):
 def fit(df: DataFrame, ident: str, text: str, roster: DataFrame, settings: PiiSettings = PiiSettings()) -> Tagger:
     """A tagger for these texts, trained on labelled stretches of a sample.
 
-    ``roster`` has ``given_name`` and ``family_name``; at most 100,000 people are
-    used. The same texts, however distributed, give the same tagger but for the
+    ``roster`` has ``given_name`` and ``family_name``, of any number of people: of
+    the whole roster those names are used that occur in the sample. The same texts, however distributed, give the same tagger but for the
     order in which floating point numbers are added. Without a single labelled
     stretch the tagger is untrained, which the checks of its spans make harmless.
     """
-    people = sorted((g or "", f or "") for g, f in roster.select("given_name", "family_name").distinct().limit(100_000).collect())
-    rows, openers = training_rows(df, ident, text, people, settings)
+    sample = sampled(df, ident, text, settings)
+    people = people_in(sample, roster)
+    rows, openers = training_rows(df, ident, text, people, settings, sample)
     model = Tagger(LABELS, settings.hidden, settings.seed)
     model.openers, model.given = openers, frozenset(g.lower() for g, _ in people if g)
     names = sorted(model.w)
-    # At most 13 stretches a sampled text: a bounded table, sent to the tasks once.
+    # A bounded table (sampled texts, characters and traps), sent to the tasks once.
     by_part: dict[int, tuple[list, list]] = {}
     for x in rows.collect():
         some, none = by_part.setdefault(x.part, ([], []))
@@ -359,15 +456,39 @@ def fit(df: DataFrame, ident: str, text: str, roster: DataFrame, settings: PiiSe
         at = 0
         for k in names:
             n = model.w[k].size
-            model.w[k] = mean[at : at + n].reshape(model.w[k].shape).copy()
+            model.w[k] = mean[at : at + n].reshape(model.w[k].shape).astype(np.float32)
             at += n
+    model.key = uuid.uuid4().hex
     return model
 
 
+def _parts(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in lists of about so many characters."""
+    part: list[str] = []
+    held = 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held >= chars:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def _replaced(text: str, spans: list[Span]) -> str:
+    """The text with a placeholder for each span."""
+    pieces, at = [], 0
+    for a, b, k in spans:
+        pieces += [text[at:a], f"[{k.upper()}]"]
+        at = b
+    return "".join([*pieces, text[at:]])
+
+
 SPANS = "array<struct<pii_type:string,char_start:int,char_end:int>>"
 
 
-def with_pii(df: DataFrame, text: str, model: Tagger, settings: PiiSettings = PiiSettings(), out: str = "pii", redacted: str = "redacted") -> DataFrame:
+def with_pii(df: DataFrame, text: str, model: Tagger, settings: PiiSettings = PiiSettings(), out: str = "pii", redacted: str | None = "redacted") -> DataFrame:
     """``df`` with the spans found in each whole text, and the text with a placeholder such as [EMAIL] for each.
 
     ``out`` is an array of (pii_type, char_start, char_end), in Unicode
@@ -375,26 +496,27 @@ def with_pii(df: DataFrame, text: str, model: Tagger, settings: PiiSettings = Pi
     unchanged, line ends and accents included. Null texts give an empty array
     and null; empty ones an empty array and an empty text. Columns of ``df`` named
     like the new ones are replaced. Texts of any length are read whole, in
-    windows; each occurrence of a repeated text is treated alike.
+    windows; each occurrence of a repeated text is treated alike. Without
+    ``redacted`` only the spans are made.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        one_thread()
         for texts in batches:
             all_spans, new = [], []
-            for lo in range(0, len(texts), 512):
-                part = [t if isinstance(t, str) else "" for t in texts.iloc[lo : lo + 512]]
+            for part in _parts([t if isinstance(t, str) else "" for t in texts], settings.task_chars):
                 for t, spans in zip(part, find_in(held.value, part, settings)):
                     all_spans.append([{"pii_type": k, "char_start": a, "char_end": b} for a, b, k in spans])
-                    pieces, at = [], 0
-                    for a, b, k in spans:
-                        pieces += [t[at:a], f"[{k.upper()}]"]
-                        at = b
-                    new.append("".join([*pieces, t[at:]]))
-            yield pd.DataFrame({"spans": all_spans, "text": new})
+                    if redacted:
+                        new.append(_replaced(t, spans))
+            yield pd.DataFrame({"spans": all_spans, "text": new if redacted else None})
 
     # Tasks of about as many characters each; a filter on the result must not make the model read a text twice.
     chars = df.agg(F.sum(F.length(text))).first()[0] or 0
     tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / settings.task_chars))
     found = F.pandas_udf(find, f"struct<spans:{SPANS},text:string>").asNondeterministic()(F.col(text))
-    return df.repartition(tasks).withColumn("__pii", found).withColumns({redacted: F.when(F.col(text).isNotNull(), F.col("__pii.text")), out: F.col("__pii.spans")}).drop("__pii")
+    read = df.repartition(tasks).withColumn("__pii", found)
+    if redacted:
+        read = read.withColumn(redacted, F.when(F.col(text).isNotNull(), F.col("__pii.text")))
+    return read.withColumn(out, F.col("__pii.spans")).drop("__pii")

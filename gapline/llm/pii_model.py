@@ -61,12 +61,13 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_features(code: np.ndarray, kind: np.ndarray) -> np.ndarray:
+def word_features(code: np.ndarray, kind: np.ndarray, row: np.ndarray | None = None) -> np.ndarray:
     """Hashes (characters, FEATURES) of what stands around each character: its word, those beside it, and their shapes.
 
     Words are runs of letters and digits, case folded and with all digits alike.
     Each feature also tells whether a character begins its word, goes on with it,
-    or follows it.
+    or follows it. ``row``: which sequence each character belongs to; words of
+    another sequence are none.
     """
     n = len(code)
     if not n:
@@ -80,6 +81,9 @@ def word_features(code: np.ndarray, kind: np.ndarray) -> np.ndarray:
         zero = np.zeros(n, np.uint64)
         return np.stack([(_mix(zero + np.uint64(f), place) % np.uint64(WORDS)).astype(np.int32) for f in range(FEATURES)], 1)
     at = np.maximum(np.cumsum(first) - 1, 0)
+    row = np.zeros(n, np.int64) if row is None else row
+    rows = row[starts]
+    own = (rows[at] == row) & (starts[at] <= np.arange(n))
     spelt = np.cumsum(code != MARK)
     position = spelt - spelt[starts[at]]
     with np.errstate(over="ignore"):
@@ -90,10 +94,50 @@ def word_features(code: np.ndarray, kind: np.ndarray) -> np.ndarray:
         shape = (kind[starts] * 64 + kind[second] * 8 + np.minimum(length, 5)).astype(np.uint64)
         two = np.maximum(starts - 2, 0)
         mark = (code[np.maximum(starts - 1, 0)] * 1024 + np.where(inside[two], 0, code[two])).astype(np.uint64)
-        shift = lambda x, k: np.concatenate([np.zeros(min(k, len(x)), np.uint64), x[:-k]]) if k > 0 else np.concatenate([x[-k:], np.zeros(min(-k, len(x)), np.uint64)])
+
+        def shift(x: np.ndarray, k: int) -> np.ndarray:
+            out = np.zeros_like(x)
+            if k > 0:
+                out[k:] = np.where(rows[k:] == rows[:-k], x[:-k], 0)
+            else:
+                out[:k] = np.where(rows[:k] == rows[-k:], x[-k:], 0)
+            return out
+
         before, before2, after = shift(word, 1), shift(word, 2), shift(word, -1)
         tables = (word, _mix(before, shape), _mix(before, before2, mark), _mix(after, shape), _mix(mark, shape), _mix(before2, before, shape))
-        return np.stack([(_mix(t[at] + np.uint64(f), place) % np.uint64(WORDS)).astype(np.int32) for f, t in enumerate(tables)], 1)
+        return np.stack([(_mix(np.where(own, t[at], np.uint64(0)) + np.uint64(f), place) % np.uint64(WORDS)).astype(np.int32) for f, t in enumerate(tables)], 1)
+
+
+#: What stands around each of several texts that are encoded together.
+_BETWEEN = "\n\n\n"
+
+
+def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and classes (steps, texts), word features (steps, texts, FEATURES) and the mask of what isn't padding."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    code, kind = encode(_BETWEEN + _BETWEEN.join(texts) + _BETWEEN)
+    gap = len(_BETWEEN)
+    offsets = np.cumsum(lengths + gap) - lengths
+    row = np.repeat(np.arange(len(texts)), lengths + gap)
+    words = word_features(code, kind, np.concatenate([row, np.full(gap, len(texts))]))
+    steps = np.arange(int(lengths.max(initial=0)))[:, None]
+    mask = steps < lengths
+    at = np.where(mask, offsets + steps, 0)
+    return np.where(mask, code[at], 0), np.where(mask, kind[at], 0), words[at], mask.astype(np.float32)
+
+
+def one_thread() -> None:
+    """Let numpy's BLAS use one thread in this process: a task has one core, and the matrices are small."""
+    import ctypes
+    import glob
+    import os
+
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(ctypes.c_int(1))
+                break
 
 
 class Tagger:
@@ -107,6 +151,8 @@ class Tagger:
         rng = np.random.default_rng(seed)
         h = hidden
         self.hidden, self.labels = hidden, labels
+        #: Names these weights, for what tasks remember of them; changes with each fit.
+        self.key = ""
         #: Words that often begin sentences, for the checks of names.
         self.openers: frozenset[str] = frozenset()
         #: Given names of the roster in lower case, for the same.
@@ -149,6 +195,54 @@ class Tagger:
             scores += w["word"][words[:, :, f]]
         return (scores, (both_c, both_k, hs, cs, gates, tanhs, top)) if keep else scores
 
+    def table(self) -> np.ndarray:
+        """What each pair of a letter and a class adds to the gates, by side."""
+        w = self.w
+        return (w["letter"][:, :, None] + w["kind"][:, None] + w["bias"][:, :, None]).reshape(2, -1, 4 * self.hidden)
+
+    def scores(self, code: np.ndarray, kind: np.ndarray, words: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """As ``emissions``, for decoding: with one look-up a character, and nothing kept."""
+        w, h = self.w, self.hidden
+        steps, batch = code.shape
+        pair = code * CLASSES + kind
+        hs = np.zeros((steps + 1, 2, batch, h), np.float32)
+        z, at = np.empty((2, batch, 4 * h), np.float32), np.empty((2, batch, 4 * h), np.float32)
+        state, th = np.zeros((2, batch, h), np.float32), np.empty((2, batch, h), np.float32)
+        i, f, o, g, gates = z[:, :, :h], z[:, :, h : 2 * h], z[:, :, 2 * h : 3 * h], z[:, :, 3 * h :], z[:, :, : 3 * h]
+        for t in range(steps):
+            np.matmul(hs[t], w["rec"], out=z)
+            np.take(table[0], pair[t], 0, out=at[0], mode="clip")
+            np.take(table[1], pair[steps - 1 - t], 0, out=at[1], mode="clip")
+            z += at
+            np.tanh(z, out=z)
+            gates *= 0.5
+            gates += 0.5
+            state *= f
+            np.multiply(i, g, out=th)
+            state += th
+            np.tanh(state, out=th)
+            np.multiply(o, th, out=hs[t + 1])
+        out = hs[1:, 0] @ w["out"][:h] + hs[:0:-1, 1] @ w["out"][h:] + w["out_bias"]
+        for k in range(FEATURES):
+            out += w["word"][words[:, :, k]]
+        return out
+
+    def best_paths(self, scores: np.ndarray) -> np.ndarray:
+        """As ``viterbi``, which only reads the sequences that may hold a label other than 0.
+
+        A stretch of n other labels gains at most n times the greatest gain of a
+        character, and n + 1 times the greatest gain of a transition, over labels 0.
+        If no character's gain and twice the transition's come to more than 0,
+        nothing beats 0 throughout.
+        """
+        trans = self.w["trans"]
+        most = (scores[:, :, 1:] - scores[:, :, :1]).max((0, 2)) + 2 * max(0.0, float((trans - trans[0, 0]).max()))
+        some = np.flatnonzero(most > -1e-3)
+        path = np.zeros(scores.shape[:2], np.int8)
+        if len(some):
+            path[:, some] = self.viterbi(scores[:, some])
+        return path
+
     def viterbi(self, scores: np.ndarray) -> np.ndarray:
         """The best labels (steps, batch)."""
         steps, batch, k = scores.shape
@@ -197,14 +291,10 @@ class Tagger:
                 b = e_scores[t] * beta[t] / scale[t][:, None]
                 g_trans += e_trans * ((alpha[t - 1] * m).T @ (b * m))
                 beta[t - 1] = np.where(m > 0, b @ e_trans.T, beta[t])
-        rows = np.arange(batch)
-        gold_score = 0.0
-        for t in range(steps):
-            gold_score += float((scores[t, rows, gold[t]] * mask[t]).sum())
-            g_scores[t, rows, gold[t]] -= mask[t]
-            if t:
-                gold_score += float((trans[gold[t - 1], gold[t]] * mask[t]).sum())
-                np.add.at(g_trans, (gold[t - 1], gold[t]), -mask[t])
+        at = (np.arange(steps)[:, None], np.arange(batch)[None], gold)
+        gold_score = float((scores[at] * mask).sum()) + float((trans[gold[:-1], gold[1:]] * mask[1:]).sum())
+        g_scores[at] -= mask
+        g_trans -= np.bincount((gold[:-1] * k + gold[1:]).ravel(), mask[1:].ravel(), k * k).reshape(k, k)
         loss = float((np.log(scale) * mask).sum()) - gold_score
         g_scores /= count
         grads = {"trans": g_trans / count, "out_bias": g_scores.sum((0, 1)), "out": np.tensordot(top, g_scores, ((0, 1), (0, 1)))}

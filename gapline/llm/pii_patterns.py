@@ -32,12 +32,14 @@ _FULL = rf"{_OF}{_PART}(?: {_OF}{_PART}){{0,3}}(?:, {_PART}(?: [A-Z]\.)?)?"
 _KO = r"[가-힣]{2,5}"
 #: Words that introduce or follow a name, number or address.
 NAME_BEFORE = (
-    r"(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? ", r"(?:Nurse|Technician|Doctor|Investigator|Participant named) ", r"(?:[Mm]y|[Hh]is|[Hh]er|[Tt]heir) (?:sister|brother|neighbour|neighbor|wife|husband|mother|father|friend|colleague|son|daughter|partner) ",
+    r"(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.? ", r"(?:Nurse|Technician|Doctor|Investigator|Professor|Physician|Therapist|Assistant|Volunteer|Caregiver|Coach|Teacher|Participant named) ", r"(?:[Mm]y|[Hh]is|[Hh]er|[Tt]heir) (?:sister|brother|neighbour|neighbor|wife|husband|mother|father|friend|colleague|son|daughter|partner) ",
     r"[Ss]poke with ", r"[Mm]y name is ", r"[Ss]igned,? ", r"(?:Reviewed|Checked|Entered|Handed over|Written|Signed|Approved|Reported) by ", r"(?:Contact|Author|Name|Kontakt|Contacto|Autor): ", r"Visit for ", r"\bname=", r"(?:Thanks|Regards|Cheers|Best|Danke|Gracias)[,.]?\s*\n",
     r"(?:Herr|Frau) ", r"Mein Name ist ", r"Gez\. ", r"(?:Meine|Mein|Unsere?) (?:Schwester|Bruder|Nachbar(?:in)?|Mutter|Vater|Frau|Mann) ", r"Gespräch mit ",
     r"(?:[Ll]a|[Ee]l) señora? ", r"[Mm]e llamo ", r"Firmado:? ", r"Hablé con ", r"[Mm]i (?:hermana|hermano|vecina|vecino|madre|padre|marido|mujer) ",
 )
-NAME_AFTER = (r" wants the ", r" said the ", r" looked at ", r" <", r" \(\+?\(?\d", r" wrote:", r" asked for ", r" reported ", r" swapped the ", r" llevó ", r" trug ", r" meldet ")
+#: What people do, and things seldom: to say, ask, write, want, think, look, report, wear and exchange.
+_DOES = "said the|says|asked for|asks|told|wrote|writes|wants the|wanted|thinks|thought|looked at|reported|swapped the|wore|sagt|sagte|fragt|fragte|schrieb|meldet|meldete|meint|trug|dice|dijo|pide|pidió|pregunta|preguntó|escribió|quiere|llevó"
+NAME_AFTER = (rf" (?:{_DOES}) ", r" <", r" \(\+?\(?\d", r" wrote:")
 KOREAN_NAMES = (rf"담당자 ({_KO})(?=[, ])", rf"작성자: ?({_KO})", rf"이름은 ({_KO})(?= ?입니다)", rf"(?<![가-힣])({_KO})(?= ?(?:씨|선생님))")
 PHONE_WORDS = r"phone|call|text|\btel\b|telefon|teléfono|mobile|cell|reach|number is|callback|llame|avise|erreichbar|anrufen|전화|연락|문자|home:|work:"
 ID_WORDS = r"ssn|social security|identity|insurance|\bid\b|\bident|dni|\bnie\b|steuer|주민|확인 번호|신분|passport|tax number"
@@ -74,6 +76,9 @@ _AFTER = [re.compile(rf"(?<![\w,.] )(?<![\w.])({_FULL})(?={c})") for c in NAME_A
 _KOREAN = [re.compile(c) for c in KOREAN_NAMES]
 #: What supports that a word is a name, right before and right after it.
 _SUPPORT_BEFORE, _SUPPORT_AFTER = re.compile(rf"(?:{'|'.join(NAME_BEFORE)})\Z"), re.compile("|".join(NAME_AFTER))
+_ARTICLE = re.compile(r"(?:The|An?|Der|Die|Das|Ein|Eine|El|La|Los|Las|Un|Una) ")
+#: An introduction among capitals, which the model may take for the name's beginning.
+_INTRODUCED = re.compile(r"(?:My|His|Her|Mein|Meine|Mi) \w+ |(?:Reviewed|Checked|Entered|Written|Signed|Approved|Reported|Handed Over) By |Visit For |Me Llamo |Mein Name Ist |My Name Is |Spoke With |Gespräch Mit |Hablé Con ")
 #: Pronouns, which stand where names do.
 _PRONOUN = re.compile(r"(?:I|You|He|She|It|We|They|One|Who|This|That|These|Those|Nobody|Somebody|Everybody|Anybody|No|Someone|Everyone|Anyone|Both|Each|Some|All|Nothing|Ich|Du|Er|Sie|Es|Wir|Ihr|Man|Wer|Niemand|Jemand|Das|Dies|Yo|Tú|Él|Ella|Nosotros|Nosotras|Ellos|Ellas|Usted|Ustedes|Nadie|Alguien|Esto|Eso|Ese|Esa)\Z")
 _CUES = [(re.compile(w, re.I), t) for w, t in ((PHONE_WORDS, "phone"), (ID_WORDS, "id_number"), (OTHER_WORDS, ""))]
@@ -191,7 +196,7 @@ def labels(text: str, roster: re.Pattern | None, openers: frozenset[str] = froze
             if not title or title.end() < len(m.group(1)):
                 a = m.start(1) + (title.end() if title else 0)
                 found.append((a, a + len(_without_openers(seen[a : m.end(1)], openers)), "person_name"))
-    found = [s for s in found if s[2] != "person_name" or not _NO_NAME.match(seen[s[0] : s[1]])]
+    found = [s for s in found if s[2] != "person_name" or not (_NO_NAME.match(seen[s[0] : s[1]]) or _PRONOUN.match(seen[s[0] : s[1]]) or _ARTICLE.match(seen[s[0] : s[1]]))]
     if roster is not None:
         found += [(*m.span(), "person_name") for m in roster.finditer(seen)]
     order = {t: i for i, t in enumerate(TYPES)}
@@ -220,6 +225,10 @@ _PARTICLE = re.compile(r"(?:(?:(?<=Herr )|(?<=Frau )|(?<=[A-Z]\. ))von|(?<!\w)(?
 _WORD_BEFORE = re.compile(r"(?<!\w)([^\W\d_]+) $")
 
 
+#: A number between letters that belong to identity numbers only.
+_LETTERS_AROUND = re.compile(r"(?:[A-Z]{1,2}[ -]?)?(.*?)(?:[ -]?[A-Z])?\Z", re.S)
+
+
 def _starts_here(text: str, at: int) -> bool:
     """Whether a sentence or line may begin here."""
     return bool(re.search(r"(?:\A|[.!?>:\]]\s*|\n\s*)\Z", text[max(0, at - 4) : at] if at else ""))
@@ -243,6 +252,9 @@ def confirmed(text: str, start: int, end: int, kind: str, openers: frozenset[str
             a, b = m.span()
             if m.group().startswith("(") and m.group().count("(") > m.group().count(")"):
                 a += 1
+            if kind == "phone":
+                letters = _LETTERS_AROUND.match(m.group())
+                a, b = max(a, m.start() + letters.start(1)), m.start() + letters.end(1)
             if sum(c.isdigit() for c in m.group()) >= 7:
                 hits.append((a, b))
         if kind == "id_number":
@@ -261,7 +273,7 @@ def confirmed(text: str, start: int, end: int, kind: str, openers: frozenset[str
         name = text[a:b]
         skip = len(name) - len(name.lstrip(" \t\r\n.,:;<>()\"'-"))
         a, name = a + skip, name[skip:]
-        title = re.match(rf"{_NO_NAME.pattern}[,:.]?\s*", name) or _TITLE.match(name)
+        title = re.match(rf"{_NO_NAME.pattern}[,:.]?\s*", name) or _TITLE.match(name) or (_INTRODUCED.match(plain_case(name)) if name.isupper() else None)
         if title and title.end() < len(name):
             a, name = a + title.end(), name[title.end() :]
         name = name.rstrip(" \t\r\n,:;<>()\"'")
@@ -270,7 +282,9 @@ def confirmed(text: str, start: int, end: int, kind: str, openers: frozenset[str
             left = text[max(0, a - 40) : a]
             m = _PARTICLE.search(left)
             opens = lambda m: m.group(1) in openers and _starts_here(text, a - len(m.group()))  # noqa: E731, B023
-            if not m and (m := _EARLIER.search(left)) and (_TITLE.match(m.group(1) + " ") or _NO_NAME.match(m.group(1)) or opens(m)):
+            # Among capitals a capital says nothing.
+            loud = lambda m: len(m.group(1)) > 2 and m.group(1).isupper() and name.isupper()  # noqa: E731, B023
+            if not m and (m := _EARLIER.search(left)) and (_TITLE.match(m.group(1) + " ") or _NO_NAME.match(m.group(1)) or opens(m) or loud(m)):
                 m = None
             if not m and (m := _WORD_BEFORE.search(left)) and (m.group(1).lower() not in given or opens(m)):
                 m = None

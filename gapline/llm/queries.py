@@ -81,17 +81,17 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
-def _tagged(spark: SparkSession, folder: str) -> DataFrame:
-    docs = each_once(read(spark, folder, "documents"), ["doc_id", "text"])
-    return with_pii(docs, "text", fit(docs, "doc_id", "text", read(spark, folder, "contact_roster")))
+def _tagged(spark: SparkSession, folder: str, redacted: str | None) -> DataFrame:
+    docs = materialize(each_once(read(spark, folder, "documents"), ["doc_id", "text"]), "texts")
+    return with_pii(docs, "text", fit(docs, "doc_id", "text", read(spark, folder, "contact_roster")), redacted=redacted)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _tagged(spark, folder).select("doc_id", F.explode("pii").alias("x")).select("doc_id", "x.pii_type", "x.char_start")
+    return _tagged(spark, folder, None).select("doc_id", F.explode("pii").alias("x")).select("doc_id", "x.pii_type", "x.char_start")
 
 
 def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    return _tagged(spark, folder).select("doc_id", "redacted")
+    return _tagged(spark, folder, "redacted").select("doc_id", "redacted")
 
 
 QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined_days, p5_found, p8_packing, p8_report, p9_mixture, p9_shares, p10_found, p10_redacted)}
