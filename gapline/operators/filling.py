@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapline.staging import join_bounded
+from gapline.staging import join_bounded, materialize
 
 
 @dataclass(frozen=True)
@@ -49,18 +50,61 @@ def mine(rows: DataFrame, determinant: list[str], field: str, ident: str) -> Dep
     return Dependency(tuple(determinant), field, n, again, bad)
 
 
+def _refuted(rows: DataFrame, tried: list[tuple[str, ...]], field: str, ident: str, keep: int | None = None, support: float = 0.0) -> set[tuple[str, ...]]:
+    """Candidates of which ``rows`` hold a counterexample, all looked at in one pass.
+
+    With ``keep``, one group in so many of each candidate is looked at, with all
+    its rows, and a candidate is also refuted if fewer than ``support`` of these
+    groups repeat their value.
+    """
+    if not tried:
+        return set()
+    known = lambda d: F.when(F.greatest(*[F.col(c).isNull() for c in d], F.lit(False)) == F.lit(False), F.xxhash64(*d))
+    each = rows.where(F.col(field).isNotNull()).select(F.explode(F.array(*(F.struct(F.lit(i).alias("c"), known(d).alias("h")) for i, d in enumerate(tried)))).alias("x"), field, ident)
+    each = each.select("x.c", "x.h", field, ident).where("h is not null")
+    if keep:
+        each = each.where(F.pmod("h", F.lit(keep)) == 0)
+    groups = each.groupBy("c", "h").agg((F.min(field) != F.max(field)).alias("bad"), (F.min(ident) != F.max(ident)).alias("again"))
+    counts = groups.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count_if("again").alias("again"), F.count_if("bad").alias("bad")).collect()
+    return {tried[r.c] for r in counts if r.bad or keep and r.again < support * r.n}
+
+
+def mine_all(rows: DataFrame, field: str, ident: str, columns: list[str], most: int = 2, support: float = 0.1, probe: int = 100_000, groups: int = 64) -> list[Dependency]:
+    """All minimal dependencies of ``field`` on up to ``most`` of ``columns``, verified on all complete rows.
+
+    Every set of columns is a candidate. Those are refuted first of which any
+    ``probe`` rows hold a counterexample (one is enough), then those that fail in
+    one of ``groups`` of their groups. What is left is verified on all rows, the
+    small sets first, and supersets of a set that holds aren't looked at. A
+    dependency holds if no group has two values and at least ``support`` of its groups
+    repeat theirs: else nearly every group is one row and nothing is verified.
+    ``probe`` and ``groups`` save work and decide nothing that the rows don't,
+    except that support within a group sample must reach half of ``support``.
+    """
+    found: list[Dependency] = []
+    some = rows.limit(probe)
+    for size in range(1, most + 1):
+        tried = [c for c in combinations(columns, size) if not any(set(d.determinant) <= set(c) for d in found)]
+        for sample, keep in ((some, None), (rows, groups)):
+            gone = _refuted(sample, tried, field, ident, keep, support / 2)
+            tried = [c for c in tried if c not in gone]
+        checked = [mine(rows, list(c), field, ident) for c in tried]
+        found += [d for d in checked if d.holds and d.repeated_groups >= support * d.groups]
+    return found
+
+
 def fill(
     rows: DataFrame,
     field: str,
     ident: str,
-    candidates: list[list[str]],
+    candidates: Sequence[list[str] | Dependency],
     groups: list[list[str]] = (),
     representative: Column | None = None,
 ) -> DataFrame:
     """``rows`` with null ``field`` filled where a dependency or a group allows, and where from.
 
-    ``candidates`` are determinants to be verified, the first that holds and knows
-    the row fills it; ``groups`` are then tried in order, and give
+    ``candidates`` are determinants to be verified, or dependencies that ``mine_all`` has
+    verified; the first that holds and knows the row fills it; ``groups`` are then tried in order, and give
     ``representative`` (an aggregate over the field; by default the greatest
     value). The result has the columns of ``rows`` and ``field_filled`` (whether
     it was filled) and ``field_source``: ``observed``, ``dependency:a,b``,
@@ -70,19 +114,20 @@ def fill(
     there once. ``ident`` names each row.
     """
     filled, source = f"{field}_filled", f"{field}_source"
-    verified = [d for c in candidates if (d := mine(rows, c, field, ident)).holds]
+    verified = [c for c in candidates if isinstance(c, Dependency) or mine(rows, c, field, ident).holds]
+    verified = [list(c.determinant) if isinstance(c, Dependency) else list(c) for c in verified]
     missing = rows.where(F.col(field).isNull())
     steps: list[tuple[str, str]] = []
     for i, d in enumerate(verified):
-        found = dictionary(rows, list(d.determinant), field, ident).select(*d.determinant, F.col("least").alias(f"__v{i}"))
-        missing = join_bounded(missing, found, list(d.determinant), "left")
-        steps.append((f"__v{i}", f"dependency:{','.join(d.determinant)}"))
+        found = materialize(dictionary(rows, d, field, ident).select(*d, F.col("least").alias(f"__v{i}")), "dictionary")
+        missing = join_bounded(missing, found, d, "left")
+        steps.append((f"__v{i}", f"dependency:{','.join(d)}"))
     for j, g in enumerate(groups):
         i = len(verified) + j
         known = rows.where(F.col(field).isNotNull())
         for c in g:
             known = known.where(F.col(c).isNotNull())
-        found = known.groupBy(*g).agg((representative if representative is not None else F.max(field)).alias(f"__v{i}"))
+        found = materialize(known.groupBy(*g).agg((representative if representative is not None else F.max(field)).alias(f"__v{i}")), "groups")
         missing = join_bounded(missing, found, list(g), "left")
         steps.append((f"__v{i}", f"group:{','.join(g)}"))
     value, origin = F.lit(None).cast(rows.schema[field].dataType), F.lit("open")

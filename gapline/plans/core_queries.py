@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.operators.filling import fill, mine, real_day, real_text
+from gapline.operators.filling import fill, mine_all, real_day, real_text
 from gapline.operators.intervals import periods_and_gaps
 from gapline.operators.regular_grid import regular_grid
 from gapline.operators.spikes import implausible_readings
@@ -22,45 +22,65 @@ def p2_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return implausible_readings(read(spark, folder, "phase_records"))
 
 
+#: Columns that are there before the value is read: what may determine it.
+_RECORD_COLUMNS = ["view_id", "subject_id", "sensor_day_id", "primitive", "sensor_file", "phase_bin", "source_timestamp"]
+_MASK_COLUMNS = ["seed", "primitive", "scenario", "draw", "window_start", "mask_interval_id", "subject_id", "sensor_day_id"]
+
+
+def _value_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = each_once(read(spark, folder, "phase_records"), ["record_id", *_RECORD_COLUMNS, "raw_value"])
+    return materialize(rows.withColumn("raw_value", F.nanvl("raw_value", F.lit(None).cast("double"))), "values")
+
+
 def _filled_values(spark: SparkSession, folder: str) -> DataFrame:
-    columns = ["record_id", "view_id", "sensor_file", "phase_bin", "raw_value"]
-    rows = each_once(read(spark, folder, "phase_records"), columns).withColumn("raw_value", F.nanvl("raw_value", F.lit(None).cast("double")))
+    rows = _value_rows(spark, folder)
+    # The statement asks for values of the own view: determinants must hold it.
+    own = [d for d in mine_all(rows, "raw_value", "record_id", _RECORD_COLUMNS) if "view_id" in d.determinant]
     finite = F.when(F.abs("raw_value") < float("inf"), F.col("raw_value"))
     # The mean of the finite values; a group that has only infinite ones gives the greatest.
-    return fill(rows, "raw_value", "record_id", [["view_id", "phase_bin"]], [["view_id", "phase_bin"], ["view_id"]], F.coalesce(F.avg(finite), F.max("raw_value")))
+    return fill(rows, "raw_value", "record_id", own, [["view_id", "phase_bin"], ["view_id"]], F.coalesce(F.avg(finite), F.max("raw_value")))
+
 
+def _mask_rows(spark: SparkSession, folder: str) -> DataFrame:
+    table = read(spark, folder, "mask_intervals")
+    rows = each_once(table, ["mask_row_id", *[c for c in _MASK_COLUMNS if c in table.columns]])
+    return materialize(rows.withColumns({"subject_id": real_text("subject_id"), "sensor_day_id": real_day("sensor_day_id")}), "masks")
 
-def _filled_masks(spark: SparkSession, folder: str, field: str) -> DataFrame:
-    rows = each_once(read(spark, folder, "mask_intervals"), ["mask_row_id", "seed", "subject_id", "sensor_day_id"])
-    rows = rows.withColumns({"subject_id": real_text("subject_id"), "sensor_day_id": real_day("sensor_day_id")})
+
+def _filled_masks(rows: DataFrame, field: str) -> DataFrame:
+    # The statement asks for values of the own mask: determinants must hold its seed.
+    own = [d for d in mine_all(rows, field, "mask_row_id", [c for c in _MASK_COLUMNS if c != field and c in rows.columns]) if "seed" in d.determinant]
     # Of seeds with more than one value, the most frequent, and of equals the least.
-    return fill(rows, field, "mask_row_id", [["seed"]], [["seed"]], F.mode(field, True))
+    return fill(rows, field, "mask_row_id", own, [["seed"]], F.mode(field, True))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     values = _filled_values(spark, folder).where("raw_value_filled").select(F.lit("phase_records").alias("table_name"), F.col("record_id").alias("row_id"), F.lit("raw_value").alias("field_name"))
+    masks = _mask_rows(spark, folder)
     for field in ("subject_id", "sensor_day_id"):
-        keys = _filled_masks(spark, folder, field).where(f"{field}_filled")
+        keys = _filled_masks(masks, field).where(f"{field}_filled")
         values = values.unionByName(keys.select(F.lit("mask_intervals").alias("table_name"), F.col("mask_row_id").alias("row_id"), F.lit(field).alias("field_name")))
     return values
 
 
 def p3_filled_values(spark: SparkSession, folder: str) -> DataFrame:
-    return _filled_values(spark, folder).select("record_id", "view_id", "raw_value", "raw_value_filled", "raw_value_source")
+    return _filled_values(spark, folder).select("record_id", "view_id", F.round("raw_value", 4).alias("raw_value"), "raw_value_filled", "raw_value_source")
 
 
 def p3_filled_masks(spark: SparkSession, folder: str) -> DataFrame:
-    subject = _filled_masks(spark, folder, "subject_id").select("mask_row_id", "subject_id", "subject_id_filled", "subject_id_source")
-    day = _filled_masks(spark, folder, "sensor_day_id").select("mask_row_id", "sensor_day_id", "sensor_day_id_filled", "sensor_day_id_source")
+    masks = _mask_rows(spark, folder)
+    subject = _filled_masks(masks, "subject_id").select("mask_row_id", "subject_id", "subject_id_filled", "subject_id_source")
+    day = _filled_masks(masks, "sensor_day_id").select("mask_row_id", "sensor_day_id", "sensor_day_id_filled", "sensor_day_id_source")
     return subject.join(day, "mask_row_id")
 
 
 def p3_dependencies(spark: SparkSession, folder: str) -> DataFrame:
-    rows = each_once(read(spark, folder, "mask_intervals"), ["mask_row_id", "seed", "primitive", "scenario", "draw", "subject_id", "sensor_day_id"])
-    rows = rows.withColumns({"subject_id": real_text("subject_id"), "sensor_day_id": real_day("sensor_day_id")})
-    tried = [(["seed"], "subject_id"), (["seed"], "sensor_day_id"), (["sensor_day_id"], "subject_id"), (["primitive", "scenario", "draw"], "subject_id")]
-    found = [mine(rows, d, f, "mask_row_id") for d, f in tried]
-    return spark.createDataFrame([(",".join(d.determinant), d.field, d.groups, d.violations, d.holds) for d in found], "determinant string, field string, n_groups bigint, violations bigint, holds boolean")
+    """What determines a lost field: all minimal dependencies on one or two columns that hold on all complete rows."""
+    masks, found = _mask_rows(spark, folder), []
+    for field in ("subject_id", "sensor_day_id"):
+        found += mine_all(masks, field, "mask_row_id", [c for c in _MASK_COLUMNS if c != field and c in masks.columns])
+    found += mine_all(_value_rows(spark, folder), "raw_value", "record_id", _RECORD_COLUMNS)
+    return spark.createDataFrame([(",".join(d.determinant), d.field, d.groups, d.repeated_groups) for d in found], "determinant string, field string, n_groups bigint, repeated_groups bigint")
 
 
 def _calendar(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,6 +171,22 @@ def _merge_sql(kind: str, key: str, table: str, start: str, end: str) -> str:
  select '{kind}' as interval_kind, k as entity_key, span_kind, strftime(s, '%Y-%m-%d %H:%M:%S') as span_start, strftime(e, '%Y-%m-%d %H:%M:%S') as span_end from x where s is not null)"""
 
 
+def _dependencies_sql() -> str:
+    """All sets of one or two columns, checked in full, and the minimal ones that hold."""
+    from itertools import combinations
+
+    parts, jobs = [], [("subject_id", _MASK_COLUMNS, "m", "mask_row_id"), ("sensor_day_id", _MASK_COLUMNS, "m", "mask_row_id"), ("raw_value", _RECORD_COLUMNS, "r", "record_id")]
+    for field, columns, table, ident in jobs:
+        rest = [c for c in columns if c != field]
+        for d in [*combinations(rest, 1), *combinations(rest, 2)]:
+            there = " and ".join(f"{c} is not null" for c in (*d, field))
+            parts.append(f"select '{','.join(d)}' as determinant, '{field}' as field, {len(d)} as size, ['{chr(39).join(d) if len(d) == 1 else (chr(39) + ', ' + chr(39)).join(d)}'] as cols, count(*) as n_groups, count(case when again then 1 end) as repeated_groups, count(case when bad then 1 end) as bad from (select min({field}) <> max({field}) as bad, min({ident}) <> max({ident}) as again from {table} where {there} group by {', '.join(d)})")
+    return f"""with m as (select distinct mask_row_id, seed, primitive, scenario, draw, window_start, mask_interval_id, {_REAL_SUBJECT} as subject_id, {_REAL_DAY} as sensor_day_id from mask_intervals),
+ r as (select distinct record_id, {', '.join(_RECORD_COLUMNS)}, case when isnan(raw_value) then null else raw_value end as raw_value from phase_records),
+ c as ({' union all '.join(parts)}), h as (select * from c where bad = 0 and repeated_groups > 0 and repeated_groups >= 0.1 * n_groups)
+ select determinant, field, n_groups::bigint as n_groups, repeated_groups::bigint as repeated_groups from h where not exists (select 1 from h g where g.field = h.field and g.size < h.size and list_has_all(h.cols, g.cols))"""
+
+
 ORACLES = {
     "p3_found": f"""with {_MASKS}, known as (select seed, max(subject_id) as s, max(sensor_day_id) as d from masks group by seed),
  recs as (select distinct record_id, view_id, case when isnan(raw_value) then null else raw_value end as raw_value from phase_records),
@@ -164,6 +200,11 @@ ORACLES = {
   coalesce(sensor_day_id, d) as sensor_day_id, sensor_day_id is null and d is not null as sensor_day_id_filled,
   case when sensor_day_id is not null then 'observed' when d is not null then 'dependency:seed' else 'open' end as sensor_day_id_source
  from masks join known using (seed)""",
+    "p3_dependencies": _dependencies_sql(),
+    "p3_filled_values": """with r as (select distinct record_id, view_id, phase_bin, case when isnan(raw_value) then null else raw_value end as v from phase_records),
+ b as (select view_id, phase_bin, coalesce(avg(case when isfinite(v) then v end), max(v)) as m from r where v is not null and phase_bin is not null group by 1, 2), w as (select view_id, coalesce(avg(case when isfinite(v) then v end), max(v)) as m from r where v is not null group by 1)
+ select record_id, r.view_id, round(coalesce(v, b.m, w.m), 4)::double as raw_value, v is null and coalesce(b.m, w.m) is not null as raw_value_filled, case when v is not null then 'observed' when b.m is not null then 'group:view_id,phase_bin' when w.m is not null then 'group:view_id' else 'open' end as raw_value_source
+ from r left join b on b.view_id = r.view_id and b.phase_bin = r.phase_bin left join w on w.view_id = r.view_id""",
     "p4_trailing": f"with {_SPINE} select subject_id, strftime(lifelog_date, '%Y-%m-%d') as lifelog_date, total_7, total_30, round(total_7 / 7.0, 6)::double as average_7, round(total_30 / 30.0, 6)::double as average_30, valued_days_7, valued_days_30 from totals",
     "p4_corrected": f"with {_SPINE} select subject_id, strftime(lifelog_date, '%Y-%m-%d') as lifelog_date, total_7, total_30, valued_days_7, valued_days_30 from totals",
     "p4_found": f"with {_SPINE} select subject_id, strftime(lifelog_date, '%Y-%m-%d') as lifelog_date from totals where total_7 * 300 < total_30 * 7",

@@ -49,3 +49,33 @@ def test_one_bad_seed_leaves_no_other_mask_open(spark, tmp_path):
     spark.createDataFrame(data, "mask_row_id bigint, seed string, primitive string, scenario string, draw int, subject_id string, sensor_day_id bigint").write.parquet(f"{tmp_path}/mask_intervals.parquet")
     out = {r.mask_row_id: (r.subject_id, r.subject_id_source) for r in p3_filled_masks(spark, str(tmp_path)).collect()}
     assert out[4] == ("anna", "group:seed") and out[7] == ("bert", "group:seed") and out[1] == ("anna", "observed")
+
+
+def test_mining_finds_all_minimal_dependencies(spark):
+    import itertools
+    import random
+
+    from gapline.operators.filling import mine_all
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        a, b, c = rng.randint(0, 20), rng.randint(0, 3), rng.randint(0, 5)
+        rows.append((i, a, b, c, i, None if rng.random() < 0.2 else f"{a // 2}", None if rng.random() < 0.2 else f"{b}-{c}"))
+    df = spark.createDataFrame(rows, "id bigint, a int, b int, c int, own bigint, one string, two string")
+    for field, at in (("one", 5), ("two", 6)):
+        brute = []
+        for size in (1, 2):
+            for d in itertools.combinations(range(1, 5), size):
+                groups = {}
+                for r in rows:
+                    if r[at] is not None:
+                        groups.setdefault(tuple(r[k] for k in d), []).append(r[at])
+                again = sum(len(g) > 1 for g in groups.values())
+                if all(len(set(g)) == 1 for g in groups.values()) and again >= 0.1 * len(groups) and again and not any(set(x) <= set(d) for x in brute):
+                    brute.append(d)
+        names = ("id", "a", "b", "c", "own")
+        got = mine_all(df, field, "id", list(names[1:]), probe=7, groups=3)
+        assert {d.determinant for d in got} == {tuple(names[k] for k in d) for d in brute}
+        assert {d.determinant for d in mine_all(df, field, "id", list(names[1:]))} == {d.determinant for d in got}
+    assert mine_all(df.where("false"), "one", "id", ["a", "b"]) == []
