@@ -214,14 +214,14 @@ def source_cutoffs(readings: DataFrame, settings: SpikeSettings) -> DataFrame:
         .join(hist.groupBy(*by).agg(F.max("bin").alias("bin"), F.max("least").alias("least")), by)
         .join(usual.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("hour", F.struct("upper", "lower")))).alias("usual")), by)
     )
-    pool = Window.partitionBy("sensor_file")
-    out = points
+    own = {f"{name}_x{part}": F.col(f"{name}_{part}") - F.col(f"{name}_u") + 0.5 for name in ("up", "down", "jump") for part in ("a", "b")}
+    points = materialize(points.withColumns(own), "points")
+    # A sensor's medians are merged from parts: its sources, however many, don't meet in one task.
+    pools = points.groupBy("sensor_file").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"{c}_pool") for c in own))
+    out = join_bounded(points, pools, ["sensor_file"])
+    n, k = F.col("up_n"), settings.pool_weight
+    out = out.withColumns({c: (F.col(c) * n + F.col(f"{c}_pool") * k) / (n + k) for c in own})
     for name in ("up", "down", "jump"):
-        n, k = F.col("up_n"), settings.pool_weight
-        for part in ("a", "b"):
-            own = F.col(f"{name}_{part}") - F.col(f"{name}_u") + 0.5
-            out = out.withColumn(f"{name}_x{part}", own)
-            out = out.withColumn(f"{name}_x{part}", (F.col(f"{name}_x{part}") * n + F.percentile_approx(f"{name}_x{part}", 0.5, 100).over(pool) * k) / (n + k))
         fitted = F.col(f"{name}_u") + _cutoff(F.col(f"{name}_xa"), F.col(f"{name}_xb"), settings)
         out = out.withColumn(f"{name}_cut", F.greatest(fitted, F.col(f"{name}_u") + F.col(f"{name}_xb") + settings.margin * F.col("least") / F.col("bin")))
     scaled = {f"{n}_{p}": F.col(f"{n}_{p}") * F.col("bin") for n in ("up", "down", "jump") for p in ("u", "cut")}
