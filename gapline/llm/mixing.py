@@ -12,6 +12,8 @@ from gapline.staging import join_bounded, materialize
 
 #: Most sources that targets may name.
 MOST_SOURCES = 100_000
+#: Most pairs of a source and a weight that the driver solves for the rates.
+MOST_WEIGHTS = 100_000
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,31 @@ def plan_mixture(rows: list[tuple[str, float, int]], targets: list[tuple[str, fl
     return plans
 
 
+def _plan_where_they_are(held: DataFrame, targets: list[tuple[str, float, int]], total: float | None, ways: int = 64, passes: int = 9) -> list[SourcePlan]:
+    """As ``plan_mixture``, of any number of weights: each pass sums ``ways`` rates a source and keeps the stretch that holds what is wanted.
+
+    ``held``: source, weight, size. Nine passes of 64 ways narrow a rate to a 2 ** 54th.
+    """
+    have = held.groupBy("source").agg(F.sum("size").alias("size"), F.min("weight").alias("least")).collect()
+    sizes = plan_mixture([(r["source"], r["least"], r["size"]) for r in have], targets, total)
+    least = {r["source"]: r["least"] for r in have}
+    spans = {p.source: (0.0, p.max_repeats / least[p.source]) for p in sizes if p.wanted > 0}
+    wanted = {p.source: (p.wanted, p.max_repeats, p.available) for p in sizes}
+    full = {s for s in spans if wanted[s][0] >= wanted[s][1] * wanted[s][2]}
+    for _ in range(passes):
+        tried = [(s, i, low + (high - low) * i / ways, wanted[s][1]) for s, (low, high) in spans.items() if s not in full for i in range(1, ways + 1)]
+        if not tried:
+            break
+        rates = held.sparkSession.createDataFrame(tried, "source string, i int, rate double, cap int")
+        sums = held.join(F.broadcast(rates), "source").groupBy("source", "i").agg(F.sum(F.least(F.col("rate") * F.col("weight"), F.col("cap").cast("double")) * F.col("size")).alias("s")).collect()
+        reached = {(r["source"], r["i"]): r["s"] for r in sums}
+        for s in {t[0] for t in tried}:
+            low, high = spans[s]
+            i = next((i for i in range(1, ways + 1) if reached[s, i] >= wanted[s][0]), ways)
+            spans[s] = (low + (high - low) * (i - 1) / ways, low + (high - low) * i / ways)
+    return [SourcePlan(p.source, p.target_share, p.max_repeats, p.available, p.wanted, spans[p.source][1] if p.source in spans else 0.0) for p in sizes]
+
+
 def _first_by_order(rows: DataFrame, group: str, order: str, size: str, wanted: str, ident: str) -> DataFrame:
     """``ident`` of the rows that come first in ``order`` until their sizes reach ``wanted`` of their group, to the nearest row.
 
@@ -119,9 +146,12 @@ def mix(
         raise ValueError(f"targets name a source twice, or more than {MOST_SOURCES} sources")
     wide = df.select(F.col(ident).alias("id"), F.col(source).alias("source"), F.col(size).cast("bigint").alias("size"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"))
     items = materialize(wide.where("id is not null and size > 0 and weight > 0").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi"), "items")
-    # One row for each source and weight; weights have few values.
-    sums = [tuple(r) for r in items.groupBy("source", "weight").agg(F.sum("size")).collect()]
-    plans = plan_mixture(sums, [tuple(g) for g in goals], total)
+    # One row for each source and weight. Weights that are too many to gather are solved for where they are.
+    held = materialize(items.groupBy("source", "weight").agg(F.sum("size").alias("size")), "weights")
+    if held.limit(MOST_WEIGHTS + 1).count() <= MOST_WEIGHTS:
+        plans = plan_mixture([tuple(r) for r in held.collect()], [tuple(g) for g in goals], total)
+    else:
+        plans = _plan_where_they_are(held, [tuple(g) for g in goals], total)
     spark = df.sparkSession
     rates = spark.createDataFrame([(p.source, p.rate, int(p.max_repeats)) for p in plans if p.rate > 0], "source string, rate double, cap int")
     expected = items.join(F.broadcast(rates), "source").withColumn("expected", F.least(F.col("rate") * F.col("weight"), F.col("cap").cast("double")))
@@ -130,7 +160,7 @@ def mix(
     odds = F.log(uniform(F.col("id"), seed)) - F.log(1 - uniform(F.col("id"), seed)) - F.log("p") + F.log(1 - F.col("p"))
     certain = {r[0]: r[1] for r in drawn.groupBy("source").agg(F.sum(F.col("sure") * F.col("size"))).collect()}
     rest = spark.createDataFrame([(p.source, max(0.0, p.wanted - (certain.get(p.source) or 0))) for p in plans if p.rate > 0], "source string, rest double")
-    open_items = drawn.where("p > 1e-9").join(F.broadcast(rest), "source").withColumn("order", odds)
+    open_items = materialize(drawn.where("p > 1e-9").join(F.broadcast(rest), "source").withColumn("order", odds), "open")
     more = _first_by_order(open_items, "source", "order", "size", "rest", "id").withColumn("more", F.lit(1))
     copies = drawn.join(more, "id", "left").withColumn("copies", F.col("sure") + F.coalesce("more", F.lit(0))).where("copies > 0")
     mixture = materialize(copies.select("id", "source", "size", "copies"), "mixture")

@@ -160,7 +160,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, large: float = LARGE,
     return segments, containers
 
 
-def pack(df: DataFrame, ident: str, length: str, capacity: int, large: float = LARGE, groups: int = GROUPS, spread: int = 64) -> DataFrame:
+def pack(df: DataFrame, ident: str, length: str, capacity: int, large: float = LARGE, groups: int = GROUPS, part_rows: int = 500_000) -> DataFrame:
     """Pack the items of ``df`` into containers of ``capacity``, and never split one that fits.
 
     Result, one row a piece: ``ident``, ``piece`` (0 unless the item was longer
@@ -169,34 +169,46 @@ def pack(df: DataFrame, ident: str, length: str, capacity: int, large: float = L
     than the capacity is cut into pieces of exactly the capacity and a rest. Items
     without length (0, negative or null) take no room and are put into container
     0. Each ident must be there once; it may be null once. An empty table gives
-    an empty result. The items of one length are ranked within ``spread`` parts,
-    so that a length that many items share isn't sorted in one task.
+    an empty result. The items of one length are ranked within parts of about
+    ``part_rows`` rows, however many items share it: pieces of items longer than
+    a container all have its length.
     """
     items = df.select(F.col(ident).alias("item"), F.greatest(F.coalesce(F.col(length).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
     last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0))
     pieces = materialize(
         items.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .select("item", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("piece_start"), F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).alias("n"))
-        .withColumn("part", F.pmod(F.xxhash64("item", "piece"), F.lit(spread)).cast("int")),
+        .select("item", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("piece_start"), F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).alias("n")),
         "pieces",
     )
+    # The most frequent length decides how many parts there are.
+    hottest = pieces.groupBy("n").count().agg(F.max("count")).first()[0] or 0
+    parts = max(64, -(-hottest // part_rows))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("item", "piece"), F.lit(parts)).cast("int"))
     counts = pieces.groupBy("n", "part").agg(F.count(F.lit(1)).alias("many")).where("n > 0")
     before = counts.withColumn("offset", F.sum("many").over(Window.partitionBy("n").orderBy("part")) - F.col("many"))
     # At most one number for each length up to the capacity.
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("n").agg(F.sum("many")).collect()}
     segments, _ = plan_packing(histogram, capacity, large, groups)
     ordered = sorted(segments)
-    firsts = [(s << 42) + a for s, a, *_ in ordered]
+    # Segments of a length lie together: a number's place is sought among the ranks of its length.
+    of_length = {}
+    for i, (s, *_) in enumerate(ordered):
+        first_i, _ = of_length.get(s, (i, i))
+        of_length[s] = (first_i, i + 1)
 
     def place(batches):
         import numpy as np
         import pandas as pd
 
-        starts = np.array(firsts, dtype=np.int64)
         rank0, first, each = (np.array([x[i] for x in ordered], dtype=np.int64) for i in (1, 3, 4))
         for n, rank in batches:
-            at = np.searchsorted(starts, (n.to_numpy(dtype=np.int64) << 42) + rank.to_numpy(dtype=np.int64), side="right") - 1
-            yield pd.Series(first[at] + (rank.to_numpy(dtype=np.int64) - rank0[at]) // each[at])
+            sizes, ranks = n.to_numpy(dtype=np.int64), rank.to_numpy(dtype=np.int64)
+            at = np.empty(len(sizes), np.int64)
+            for s in np.unique(sizes):
+                low, high = of_length[int(s)]
+                mine = sizes == s
+                at[mine] = low + np.searchsorted(rank0[low:high], ranks[mine], side="right") - 1
+            yield pd.Series(first[at] + (ranks - rank0[at]) // each[at])
 
     import typing
 

@@ -8,6 +8,10 @@ separate days or partitions add up.
 
 from __future__ import annotations
 
+from fractions import Fraction
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +51,10 @@ def _targets(cells: DataFrame, keys: list[str], percentiles: list[float]) -> Dat
     """The cell in which each percentile's rank lies, and the values below it. Rank: ceil(q n), at least 1."""
     w = Window.partitionBy(*keys).orderBy("cell")
     counted = cells.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    qs = counted.withColumn("q", F.explode(F.array(*map(F.lit, percentiles))))
-    rank = F.greatest(F.ceil(F.round(F.col("q") * F.col("total"), 6)), F.lit(1)).cast("bigint")
+    # ceil(q n) in whole numbers, with q as written: 0.05 is 1 / 20.
+    asked = [(q, *Fraction(str(q)).as_integer_ratio()) for q in percentiles]
+    qs = counted.withColumn("__q", F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.lit(a).cast("decimal(20,0)").alias("a"), F.lit(b).cast("decimal(20,0)").alias("b")) for q, a, b in asked)))).withColumn("q", F.col("__q.q"))
+    rank = F.greatest(F.expr("(cast(total as decimal(18,0)) * __q.a + __q.b - 1) div __q.b"), F.lit(1)).cast("bigint")
     held = qs.withColumn("rank", rank).where("rank <= upto and rank > upto - n")
     return held.select(*keys, "q", "total", "rank", (F.col("upto") - F.col("n")).alias("below"), "n", "low", "high")
 
@@ -73,14 +79,15 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact percentiles of each group: the finite value at rank ceil(q n).
 
-    Values are first counted by (group, value). The fixed grid (``summary`` if it
-    was made before, of parts named in ``part`` or not) gives each percentile an
-    interval; then each pass counts the values of that interval below 255
-    midpoints and narrows it, until its least and greatest value are the same.
-    Each pass shortens every open interval by at least one distinct value, and
-    as a rule to a 256th; the number of passes follows from the data, without a
-    limit. Only intervals, never values, are gathered: one row for each group
-    and percentile.
+    The fixed grid (``summary`` if it was made before, of parts named in
+    ``part`` or not) gives each percentile an interval: only counts of cells are
+    shuffled. Then each pass takes the values that lie in an open interval, counts
+    them below 255 midpoints and narrows it, until its least and greatest
+    value are the same. Each pass shortens every open interval by at least one
+    distinct value, and as a rule to a 256th; the number of passes follows from
+    the data, without a limit. Only intervals, never values, are gathered: one
+    row for each group and percentile. Values outside of open intervals aren't
+    shuffled, and those inside are counted by value before.
 
     Result: ``keys``, ``q``, ``n_values``, ``percentile``, ``error_bound`` (0.0:
     the interval is closed). Groups without a finite value give no row. Ties and
@@ -90,29 +97,31 @@ def exact_percentiles(
     key = [f"__k{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, key)), F.col(value).cast("double").alias("v"))
     rows = rows.where("v is not null and not isnan(v) and abs(v) < double('inf')")
-    values = materialize(rows.groupBy(*key, "v").agg(F.count(F.lit(1)).alias("n")), "values")
+    values = materialize(rows.withColumn("n", F.lit(1).cast("bigint")), "values")
     if summary is None:
         first = summarize(values, key, "v", "n")
     else:
         first = combine(summary.select(*(F.col(k).alias(n) for k, n in zip(keys, key)), "cell", "n", "low", "high"), key)
     state = materialize(_targets(first, key, percentiles), "targets")
+    hashed = lambda d: d.withColumn("__g", F.xxhash64(F.lit(0), *key))
     while True:
         still = state.where("low < high")
         if still.limit(1).count() == 0:
             break
-        # Null-safe keys: null groups are joined as a marked string.
-        named = lambda d: d.withColumn("__g", F.to_json(F.struct(*(F.coalesce(F.col(k).cast("string"), F.lit("\u0000")).alias(k) for k in key))))
-        intervals = named(still.select(*key, "low", "high").distinct()).drop(*key)
+        # Groups are joined by a hash of their keys, and compared with null equal to null.
+        intervals = hashed(still.select(*key, F.col("low").alias("from"), F.col("high").alias("to")).distinct()).withColumnsRenamed({k: f"{k}j" for k in key})
+        same = lambda d: d.where(reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}j")) for k in key], F.lit(True))).drop(*(f"{k}j" for k in key))
         # Intervals of a group don't overlap: they are cells of one partition of the values.
-        inside = join_bounded(named(values), intervals, ["__g"]).where("v >= low and v <= high")
-        width = F.col("high") * 0.5 - F.col("low") * 0.5
-        step = F.floor((F.col("v") * 0.5 - F.col("low") * 0.5) / width * WAYS)
-        cell = F.when(F.col("v") <= F.col("low"), 0).when(F.col("v") >= F.col("high"), WAYS - 1).otherwise(F.least(F.greatest(step, F.lit(0)), F.lit(WAYS - 1)))
-        counts = inside.groupBy("__g", F.col("low").alias("from"), F.col("high").alias("to"), cell.alias("cell")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        w = Window.partitionBy("__g", "from", "to").orderBy("cell")
-        upto = counts.withColumn("upto", F.sum("n").over(w)).select("__g", "from", "to", "upto", F.col("n").alias("m"), F.col("low").alias("l"), F.col("high").alias("h"))
-        asked = named(still).withColumnsRenamed({"low": "from", "high": "to"})
-        closer = asked.join(upto, ["__g", "from", "to"]).where("rank <= below + upto and rank > below + upto - m")
+        inside = same(join_bounded(hashed(values.select(*key, "v", "n")), intervals, ["__g"])).where(F.col("v").between(F.col("from"), F.col("to")))
+        values = materialize(inside.groupBy(*key, "from", "to", "v").agg(F.sum("n").alias("n")), "values")
+        width = F.col("to") * 0.5 - F.col("from") * 0.5
+        step = F.floor((F.col("v") * 0.5 - F.col("from") * 0.5) / width * WAYS)
+        cell = F.when(F.col("v") <= F.col("from"), 0).when(F.col("v") >= F.col("to"), WAYS - 1).otherwise(F.least(F.greatest(step, F.lit(0)), F.lit(WAYS - 1)))
+        counts = values.groupBy(*key, "from", "to", cell.alias("cell")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        w = Window.partitionBy(*key, "from", "to").orderBy("cell")
+        upto = hashed(counts.withColumn("upto", F.sum("n").over(w))).select("__g", *(F.col(k).alias(f"{k}j") for k in key), "from", "to", "upto", F.col("n").alias("m"), F.col("low").alias("l"), F.col("high").alias("h"))
+        asked = hashed(still).withColumnsRenamed({"low": "from", "high": "to"})
+        closer = same(asked.join(upto, ["__g", "from", "to"])).where("rank <= below + upto and rank > below + upto - m")
         closer = closer.select(*key, "q", "total", "rank", (F.col("below") + F.col("upto") - F.col("m")).alias("below"), F.col("m").alias("n"), F.col("l").alias("low"), F.col("h").alias("high"))
         state = materialize(state.where("low = high").unionByName(closer), "targets")
     return state.select(*(F.col(n).alias(k) for k, n in zip(keys, key)), "q", F.col("total").alias("n_values"), F.col("low").alias("percentile"), (F.col("high") - F.col("low")).alias("error_bound"))
