@@ -69,7 +69,7 @@ class PhaseParts(Parts):
 
 
 @query(f"{BINS} select view_id, subject_id, sensor_day_id, primitive, elapsed, phase_bin, kind, units, round(numerator, 7)::double as numerator, round(support, 6)::double as support, n_events, round(event_mass, 7)::double as event_mass, round(bin_value, 7)::double as bin_value from pb")
-def op108_phase_bins(spark: SparkSession, folder: str) -> DataFrame:
+def op108_view_bins(spark: SparkSession, folder: str) -> DataFrame:
     out = rounded(rounded(PhaseParts(spark, folder).bins, 7, "numerator", "event_mass", "bin_value"), 6, "support")
     return out.select(*KEYS, "phase_bin", "kind", "units", "numerator", "support", "n_events", "event_mass", "bin_value")
 
