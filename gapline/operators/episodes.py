@@ -7,7 +7,6 @@ Emissions are independent Gaussians; missing values say nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -125,21 +124,54 @@ def decode(df: DataFrame, subject: str, day: str, step: str, values: list[str],
     return df.select(subject, day, step, *values).groupBy(subject).applyInPandas(one, f"{subject} {kinds[subject]}, {day} {kinds[day]}, {step} {kinds[step]}, state int")
 
 
+def assignment(gain: np.ndarray) -> np.ndarray:
+    """For each row the column that it is given, so that the sum of ``gain`` over the pairs is greatest: shortest augmenting paths, for any size."""
+    n = len(gain)
+    cost = np.zeros((n + 1, n + 1))
+    cost[1:, 1:] = gain.max(initial=0) - gain
+    row_price, column_price, owner = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        reach, came, done = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+        while owner[at]:
+            done[at] = True
+            slack = cost[owner[at]] - row_price[owner[at]] - column_price
+            better = ~done & (slack < reach)
+            better[0] = False
+            reach[better], came[better] = slack[better], at
+            open_ = np.where(done, np.inf, reach)
+            open_[0] = np.inf
+            nearest = int(open_.argmin())
+            step = open_[nearest]
+            row_price[owner[done]] += step
+            column_price[done] -= step
+            reach[~done] -= step
+            at = nearest
+        while at:
+            owner[at] = owner[came[at]]
+            at = came[at]
+    given = np.zeros(n, int)
+    given[owner[1:] - 1] = np.arange(n)
+    return given
+
+
 def aligned(reference: np.ndarray, candidate: np.ndarray, states: int) -> np.ndarray:
-    """The candidate's labels renamed to agree with the reference in as many steps as possible (up to eight states)."""
-    if states > 8:
-        raise ValueError("more than eight states")
+    """The candidate's labels renamed to agree with the reference in as many steps as possible."""
     counts = np.zeros((states, states), int)
     np.add.at(counts, (candidate, reference), 1)
-    best = max(permutations(range(states)), key=lambda p: (sum(counts[i, p[i]] for i in range(states)), [-k for k in p]))
-    return np.array(best)[candidate]
+    # Among equals a label keeps its number.
+    return assignment(counts + np.eye(states) / (4.0 * states))[candidate]
 
 
 def segment_iou(reference: np.ndarray, predicted: np.ndarray, states: int) -> float:
-    """The mean over states of intersection over union, after alignment; states in neither don't count."""
-    p = aligned(reference, predicted, states)
-    parts = [((reference == s) & (p == s)).sum() / u for s in range(states) if (u := ((reference == s) | (p == s)).sum())]
-    return float(np.mean(parts)) if parts else 1.0
+    """Intersections over unions of the labels, paired so that their sum is greatest, over the larger number of labels in use; 1 if there is none."""
+    both = np.zeros((states, states))
+    for a in range(states):
+        for b in range(states):
+            union = ((reference == a) | (predicted == b)).sum()
+            both[a, b] = ((reference == a) & (predicted == b)).sum() / union if union else 0.0
+    used = max(len(np.unique(reference)), len(np.unique(predicted)))
+    return float(both[np.arange(states), assignment(both)].sum() / used) if used else 1.0
 
 
 def boundary_f1(reference: np.ndarray, predicted: np.ndarray, tolerance: int = 1) -> float:

@@ -133,6 +133,7 @@ def _grids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value, sd = smooth(worked, used, off)
             with np.errstate(over="ignore"):
                 value = np.where(log, np.sign(value) * np.expm1(np.minimum(np.abs(value), 700)), value)
+                sd = np.where(log, sd * (1 + np.abs(value)), sd)
             inside = np.arange(steps)[None, :] < epochs[rows][:, None]
             pick = lambda x: x[inside]  # noqa: E731, B023
             seen = np.where(used > 0, y, np.nan)
@@ -157,7 +158,7 @@ def regular_grid(records: DataFrame, views: DataFrame, definitions: DataFrame) -
     number, mean and mean time for (view, epoch) before they meet, so a view
     costs at most its expected epochs, however many records it has. Light, usage
     and steps (by the primitive's value column) are smoothed as signed log(1 + x);
-    the uncertainty is then in that scale.
+    the uncertainty is brought back to their unit by the slope there, 1 + |filled|.
 
     Result: ``view_id``, ``epoch_index``, ``n_readings``, ``observed`` (mean of the
     finite readings, null if none), ``filled`` (smoothed value, null in a view

@@ -38,14 +38,15 @@ def scan_arrow(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
 
         for it in its:
             for path in it.column("path").to_pylist():
-                with pa.OSFile(path, "rb") as f:
-                    try:
-                        reader = pa.ipc.open_file(f)
-                        for i in range(reader.num_record_batches):
-                            yield reader.get_batch(i)
-                    except pa.ArrowInvalid:
-                        f.seek(0)
-                        yield from pa.ipc.open_stream(f)
+                with open(path, "rb") as head:
+                    # The file format begins with this mark; a stream has none.
+                    whole = head.read(6) == b"ARROW1"
+                with pa.memory_map(path) as source:
+                    if whole:
+                        held = pa.ipc.open_file(source)
+                        yield from map(held.get_batch, range(held.num_record_batches))
+                    else:
+                        yield from pa.ipc.open_stream(source)
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
     return files.mapInArrow(batches, schema)
@@ -68,9 +69,18 @@ def seal(folder: str, stage: str, tables: list[dict], parents: list[str] = ()) -
     return manifest
 
 
-def broken(folder: str) -> list[str]:
-    """Files that don't match the manifest, are missing, or aren't in it."""
+def broken(folder: str, _seen: set[str] | None = None) -> list[str]:
+    """Files that don't match the manifest, are missing, or aren't in it, here and in all stages that this one builds on."""
     root = Path(folder)
+    seen = set() if _seen is None else _seen
+    seen.add(str((root / "manifest.json").resolve()))
     manifest = json.loads((root / "manifest.json").read_text())
     now = {str(p.relative_to(root)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(root.rglob("*.parquet")) if p.is_file()}
-    return sorted({f for f in {*now, *manifest["files"]} if now.get(f) != manifest["files"].get(f)} | {p for p, h in manifest["parents"].items() if not Path(p).is_file() or hashlib.sha256(Path(p).read_bytes()).hexdigest() != h})
+    bad = {f for f in {*now, *manifest["files"]} if now.get(f) != manifest["files"].get(f)}
+    for parent, digest in manifest["parents"].items():
+        path = Path(parent)
+        if not path.is_file() or hashlib.sha256(path.read_bytes()).hexdigest() != digest:
+            bad.add(parent)
+        elif path.name == "manifest.json" and str(path.resolve()) not in seen:
+            bad |= {f"{path.parent}/{f}" if not f.startswith("/") else f for f in broken(str(path.parent), seen)}
+    return sorted(bad)
