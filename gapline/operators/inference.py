@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gapline.staging import join_bounded, materialize, numbered
+
 #: Most participants whose 2 ** n sign flips are enumerated.
 MOST_FLIPPED = 16
 
@@ -37,8 +39,9 @@ def repeated_measures_correlation(df: DataFrame, subject: str, x: str, y: str) -
 def leave_one_out_correlations(df: DataFrame, subject: str, x: str, y: str) -> DataFrame:
     """The within-participant correlation without each participant in turn, from sums less the own part."""
     sums = pair_sums(df, [subject], x, y).where("n >= 2")
-    w = Window.partitionBy()  # one row a participant
-    a, b, c = (F.sum(k).over(w) - F.col(k) for k in ("sxx", "syy", "sxy"))
+    sums = materialize(sums, "sums")
+    whole = sums.agg(*(F.sum(k).alias(k) for k in ("sxx", "syy", "sxy"))).first()
+    a, b, c = (F.lit(whole[k]) - F.col(k) for k in ("sxx", "syy", "sxy"))
     return sums.select(subject, F.when((a > 0) & (b > 0), c / F.sqrt(a * b)).alias("r_without"))
 
 
@@ -49,11 +52,12 @@ def bootstrap(df: DataFrame, subject: str, value: str, draws: int, root: str, le
     there are, with replacement: the j-th is the one whose number the hash of
     (draw, j) gives.
     """
-    w = Window.partitionBy()
-    rows = df.where(F.col(value).isNotNull()).select(subject, value, (F.row_number().over(Window.orderBy(subject)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    rows, count = numbered(df.where(F.col(value).isNotNull()).select(subject, value), [subject], "i")
+    rows = rows.withColumn("n", F.lit(count))
     slots = rows.select(F.col("i").alias("j"), "n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(root), F.col("draw").cast("string"), F.col("j").cast("string")), 256), 1, 15), 16, 10).cast("bigint")
-    taken = slots.withColumn("i", F.pmod(number, F.col("n")).cast("int")).join(F.broadcast(rows.select("i", value)), "i")
+    taken = slots.withColumn("i", F.pmod(number, F.col("n")))
+    taken = join_bounded(taken, rows.select("i", value), ["i"])
     medians = taken.groupBy("draw").agg(F.median(value).alias("m"))
     low, high = (F.percentile("m", F.lit(p)) for p in levels)
     return medians.agg(F.count(F.lit(1)).alias("draws"), low.alias("low"), high.alias("high"))
@@ -151,18 +155,20 @@ def risk_at_coverage(df: DataFrame, keys: list[str], error: str, sure: str, shar
 def participant_weights(df: DataFrame, subject: str) -> DataFrame:
     """``weight``: rows over participants times the participant's rows, so that each participant weighs the same."""
     own = df.groupBy(subject).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy()
-    return df.join(own.withColumn("weight", F.sum("__n").over(w) / (F.count(F.lit(1)).over(w) * F.col("__n"))).drop("__n"), subject)
+    own = materialize(own, "sizes")
+    whole = own.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    weights = own.withColumn("weight", F.lit(whole["n"]) / (F.lit(whole["k"]) * F.col("__n"))).drop("__n")
+    return join_bounded(df, weights, [subject])
 
 
 def bootstrap_correlation(df: DataFrame, subject: str, x: str, y: str, draws: int, root: str, levels: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
     """An interval of the within-participant correlation from resamples of participants by hash, out of each one's sums."""
-    w = Window.partitionBy()
-    sums = pair_sums(df, [subject], x, y).where("n >= 2")
-    rows = sums.select("sxx", "syy", "sxy", (F.row_number().over(Window.orderBy(subject)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("k"))
+    rows, count = numbered(pair_sums(df, [subject], x, y).where("n >= 2").select(subject, "sxx", "syy", "sxy"), [subject], "i")
+    rows = rows.select("sxx", "syy", "sxy", "i", F.lit(count).alias("k"))
     slots = rows.select(F.col("i").alias("j"), "k").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(root), F.col("draw").cast("string"), F.col("j").cast("string")), 256), 1, 15), 16, 10).cast("bigint")
-    taken = slots.withColumn("i", F.pmod(number, F.col("k")).cast("int")).join(F.broadcast(rows.drop("k")), "i")
+    taken = slots.withColumn("i", F.pmod(number, F.col("k")))
+    taken = join_bounded(taken, rows.drop("k"), ["i"])
     r = taken.groupBy("draw").agg(F.sum("sxx").alias("a"), F.sum("syy").alias("b"), F.sum("sxy").alias("c")).select(F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("c") / F.sqrt(F.col("a") * F.col("b"))).alias("r"))
     return r.agg(F.count("r").alias("draws"), F.percentile("r", F.lit(levels[0])).alias("low"), F.percentile("r", F.lit(levels[1])).alias("high"))
 
@@ -226,7 +232,8 @@ def residual_correlation(df: DataFrame, subject: str, x: str, y: str, nuisance:
 def calibration(df: DataFrame, label: str, p: str, steps: int = 25) -> DataFrame:
     """Intercept and slope of a logistic recalibration of log odds, by Newton's method on sums; null with one class or constant odds."""
     q = F.greatest(F.least(F.col(p), F.lit(1 - 1e-6)), F.lit(1e-6))
-    rows = df.where(F.col(label).isNotNull() & F.col(p).isNotNull()).select(F.col(label).cast("double").alias("y"), F.log(q / (1 - q)).alias("z")).cache()
+    rows = df.where(F.col(label).isNotNull() & F.col(p).isNotNull()).select(F.col(label).cast("double").alias("y"), F.log(q / (1 - q)).alias("z"))
+    rows = materialize(rows, "odds")
     n, ones, spread = rows.agg(F.count(F.lit(1)), F.sum("y"), F.stddev_pop("z")).first()
     a = b = None
     if n and 0 < ones < n and spread:
@@ -241,5 +248,4 @@ def calibration(df: DataFrame, label: str, p: str, steps: int = 25) -> DataFrame
             a, b = a + da, b + db
             if abs(da) + abs(db) < 1e-10:
                 break
-    rows.unpersist()
     return df.sparkSession.createDataFrame([(n, a, b)], "n bigint, intercept double, slope double")

@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapline.functions.robust import others_median_rows
 from gapline.operators.inference import participant_weights
+from gapline.staging import materialize
 
 
 def fold_preparation(df: DataFrame, subject: str, features: list[str]) -> DataFrame:
     """Each fold's medians, means and deviations of the features, over all participants but the held-out one.
 
-    Features are in rows: ``held_out``, ``feature``, ``median``, ``mean``, ``sd``.
-    A participant's row stands for the folds of all others, so a fold's training
-    rows are aggregated without being copied to the driver.
+    Features are in rows: ``held_out``, ``feature``, ``median``, ``mean``, ``sd``. Means
+    and deviations are sums less the own part, medians come from ranks: no row is
+    copied to another fold. A participant alone has no fold.
     """
     long = df.unpivot([subject], features, "feature", "x").where("x is not null")
-    folds = df.select(F.col(subject).alias("held_out")).distinct()
-    trained = long.join(F.broadcast(folds), F.col(subject) != F.col("held_out")) if folds.count() <= 1000 else None
-    if trained is None:
-        raise ValueError("more than 1000 folds")
-    return trained.groupBy("held_out", "feature").agg(F.median("x").alias("median"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    mid = others_median_rows(long, ["feature"], subject, "x", "median")
+    center = long.groupBy("feature").agg(F.avg("x").alias("__c"))
+    own = long.join(F.broadcast(center), "feature").withColumn("__d", F.col("x") - F.col("__c"))  # one row a feature
+    sums = own.groupBy(subject, "feature").agg(F.count("x").alias("n"), F.sum("__d").alias("s"), F.sum(F.col("__d") * F.col("__d")).alias("q"), F.first("__c").alias("c"))
+    folds = df.select(subject).distinct()
+    total = sums.groupBy("feature").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"), F.first("c").alias("c"))
+    grid = folds.withColumn("feature", F.explode(F.array(*map(F.lit, features)))).join(F.broadcast(total), "feature").join(sums.drop("c"), [subject, "feature"], "left").na.fill(0, ["n"]).na.fill(0.0, ["s", "q"])
+    n, s, q = F.col("tn") - F.col("n"), F.col("ts") - F.col("s"), F.col("tq") - F.col("q")
+    stats = grid.where(n > 0).select(subject, "feature", (F.col("c") + s / n).alias("mean"), F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))).alias("sd"), F.col("n").alias("own"))
+    whole = mid.select(subject, "feature", "median")
+    # A participant without values of a feature leaves out nothing: its fold has the median of all.
+    every = long.groupBy("feature").agg(F.median("x").alias("all_median"))
+    out = stats.join(whole, [subject, "feature"], "left").join(F.broadcast(every), "feature")
+    return out.select(F.col(subject).alias("held_out"), "feature", F.when(F.col("own") > 0, F.col("median")).otherwise(F.col("all_median")).alias("median"), "mean", "sd")
 
 
 def loso_logistic(df: DataFrame, subject: str, label: str, features: list[str], l2: float = 0.1, iterations: int = 2000) -> DataFrame:
@@ -37,7 +48,8 @@ def loso_logistic(df: DataFrame, subject: str, label: str, features: list[str],
     from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = df.where(F.col(label).isNotNull()).select(subject, F.col(label).cast("double").alias(label), *features).cache()
+    rows = df.where(F.col(label).isNotNull()).select(subject, F.col(label).cast("double").alias(label), *features)
+    rows = materialize(rows, "labelled")
     people = [r[0] for r in rows.select(subject).distinct().orderBy(subject).limit(1001).collect()]
     if len(people) > 1000:
         raise ValueError("more than 1000 folds")

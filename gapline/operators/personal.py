@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapline.functions.robust import MAD_FACTOR, location_scale
+from gapline.staging import materialize
 
 
 def shrunk(personal_center: Column, personal_scale: Column, population_center: Column, population_scale: Column, n: Column, days: float = 7.0) -> tuple[Column, Column]:
@@ -23,8 +24,9 @@ def shrunk(personal_center: Column, personal_scale: Column, population_center: C
 def leave_one_out_mean_scale(df: DataFrame, subject: str, value: str) -> DataFrame:
     """Mean and standard deviation over all other participants' rows, out of sums less the own part: no pairs."""
     own = df.where(F.col(value).isNotNull()).groupBy(subject).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    w = Window.partitionBy()  # one row a participant
-    n, s, q = (F.sum(c).over(w) - F.col(c) for c in ("n", "s", "q"))
+    own = materialize(own, "own")
+    whole = own.agg(*(F.sum(c).alias(c) for c in ("n", "s", "q"))).first()
+    n, s, q = (F.lit(whole[c]) - F.col(c) for c in ("n", "s", "q"))
     return own.select(subject, n.alias("others"), (s / n).alias("others_mean"), F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))).alias("others_sd"))
 
 
@@ -55,8 +57,9 @@ def composed_mean(sources: list[tuple[Column, Column]], expected: int, least: in
 def standardizers(df: DataFrame, subject: str, value: str) -> DataFrame:
     """The scale of errors: 1.4826 MAD of the participant's values, at least a tenth of the scale of all; the latter where the former is missing."""
     own = location_scale(df.withColumn("__one", F.lit(1.0)), [subject], value, "__one").select(subject, F.col("scale").alias("own_scale"))
-    every = location_scale(df.withColumns({"__one": F.lit(1.0), "__all": F.lit(1)}), ["__all"], value, "__one").select(F.col("scale").alias("population_scale"))
-    both = own.join(F.broadcast(every))  # one row
+    every = location_scale(df.withColumns({"__one": F.lit(1.0), "__every": F.lit(1)}), ["__every"], value, "__one").select(F.col("scale").alias("population_scale"))
+    one = every.first()
+    both = own.withColumn("population_scale", F.lit(one[0] if one else None).cast("double"))
     return both.select(subject, "own_scale", "population_scale", F.greatest(F.coalesce("own_scale", "population_scale"), 0.1 * F.col("population_scale")).alias("standardizer"))
 
 

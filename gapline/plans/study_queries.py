@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapline.functions.robust import average_rank, location_scale, rank_auc, spearman, weighted_quantile
+from gapline.functions.robust import average_ranks, location_scale, rank_auc, spearman, weighted_quantile
 from gapline.operators import daily, diff, inference, masks, models, personal, repair
 from gapline.sources.study import CADENCE, readings
 
@@ -537,7 +537,7 @@ _RANK = "rk as (select *, rank() over (partition by subject_id order by x) + (co
 
 @query(f"{_PAIR}, {_RANK} select subject_id, {D}, rx::double as rank_x from rk")
 def op115_average_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    return text_day(_pair(spark, folder).select(*KEYS, average_rank("x", ["subject_id"]).alias("rank_x")))
+    return text_day(average_ranks(_pair(spark, folder), ["subject_id"], "x", "rank_x").select(*KEYS, "rank_x"))
 
 
 @query(f"{_PAIR}, {_RANK} select subject_id, count(*)::bigint as n_pairs, round(corr(rx, ry), 6) as rho from rk group by 1")

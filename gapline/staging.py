@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
@@ -76,6 +76,20 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> tuple[DataFrame, int]:
+    """``df`` with ``out``, its rows' numbers from 0 in ``order``, and how many there are. Sorted in ranges, not in one task."""
+    spark = df.sparkSession
+    parts = materialize(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sizes = {r["__p"]: r["n"] for r in parts.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    at, offsets = 0, []
+    for p in sorted(sizes):
+        offsets.append((p, at))
+        at += sizes[p]
+    first = spark.createDataFrame(offsets, "__p int, __first bigint")
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return parts.join(F.broadcast(first), "__p").withColumn(out, F.col("__first") + place - 1).drop("__p", "__first"), at  # one row a range
+
+
 def measured_bytes(df: DataFrame) -> tuple[int, int]:
     """Rows of ``df`` and about how many bytes they take in memory: texts and nested values as long as they are."""
     fixed, sizes = 16, []
