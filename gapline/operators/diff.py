@@ -62,3 +62,33 @@ def forbidden_columns(df: DataFrame, patterns: tuple[str, ...] = (r"^[QS]\d+$",
     import re
 
     return [c for c in df.columns if any(re.search(p, c, re.I) for p in patterns)]
+
+
+def merged_reports(parts: DataFrame) -> DataFrame:
+    """The report of a whole table out of the reports (see ``compare_tables``) of its parts."""
+    counts = ("n_equal", "n_different", "n_beyond_tolerance", "n_unpaired")
+    return parts.groupBy("column_name").agg(*(F.sum(c).alias(c) for c in counts), F.max("max_difference").alias("max_difference"))
+
+
+def tree_digest(df: DataFrame, columns: list[str], levels: tuple[int, ...] = (4, 2, 0)) -> DataFrame:
+    """One row: ``n_rows`` and ``digest``, the SHA-256 of the table's columns and rows, whatever their order.
+
+    Rows' digests are gathered by their first hexadecimal digits, sorted and
+    hashed, and these again by fewer digits: a tree, whose lists are rows over
+    16 ** 4 in size, and at last 256. Columns and types are part of the digest.
+    """
+    rows = row_digests(df, columns).select("digest", F.lit(1).cast("bigint").alias("n"))
+    for depth in levels:
+        grouped = rows.groupBy(F.substring("digest", 1, depth).alias("__p") if depth else F.lit("").alias("__p"))
+        rows = grouped.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("__d"), F.sum("n").alias("n"))
+        rows = rows.select(F.concat("__p", F.col("__d")).alias("digest") if depth else F.col("__d").alias("digest"), "n")
+    schema = ",".join(f"{c}:{dict(df.dtypes)[c]}" for c in columns)
+    return rows.select(F.col("n").alias("n_rows"), F.sha2(F.concat(F.lit(schema + "|"), F.col("digest")), 256).alias("digest"))
+
+
+def differing_rows(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: how many rows only the first and only the second table has, repeated rows counted. Both are 0 for equal tables."""
+    columns = first.columns
+    marked = first.withColumn("__m", F.lit(1)).unionByName(second.select(*columns).withColumn("__m", F.lit(-1)))
+    net = marked.groupBy(*columns).agg(F.sum("__m").alias("__n")).where("__n <> 0")
+    return net.agg(F.coalesce(F.sum(F.greatest("__n", F.lit(0))), F.lit(0)).alias("only_first"), F.coalesce(F.sum(F.greatest(-F.col("__n"), F.lit(0))), F.lit(0)).alias("only_second"))

@@ -249,3 +249,65 @@ def calibration(df: DataFrame, label: str, p: str, steps: int = 25) -> DataFrame
             if abs(da) + abs(db) < 1e-10:
                 break
     return df.sparkSession.createDataFrame([(n, a, b)], "n bigint, intercept double, slope double")
+
+
+def family_inference(df: DataFrame, family: str, subject: str, value: str, draws: int = 999, root: str = "gapline") -> DataFrame:
+    """The two-sided sign-flip test of each family's mean, adjusted over families by Holm: ``family``, ``n_participants``, ``mean``, ``p_value``, ``adjusted``.
+
+    One row a family and participant. Up to 16 participants all 2 ** n sign
+    patterns are enumerated, the given one included: a pattern is a number whose
+    bits are signs. Beyond, ``draws`` patterns come from hashes of draw and
+    participant, and the given one counts as one more.
+    """
+    w = Window.partitionBy(family)
+    rows = df.where(F.col(value).isNotNull()).select(family, subject, F.col(value).cast("double").alias("__v"))
+    rows = rows.withColumn("__i", (F.row_number().over(w.orderBy(subject)) - 1).cast("int"))
+    sizes = rows.groupBy(family).agg(F.count(F.lit(1)).alias("n_participants"), F.avg("__v").alias("mean"), F.sum("__v").alias("__s"), F.sum(F.abs("__v")).alias("__a"))
+    exact = F.col("n_participants") <= MOST_FLIPPED
+    last = F.when(exact, F.expr("shiftleft(1, cast(least(n_participants, 30) as int)) - 1")).otherwise(F.lit(draws - 1))
+    patterns = sizes.withColumn("__exact", exact).withColumn("__k", F.explode(F.sequence(F.lit(0), last)))
+    drawn = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(root), F.col("__k").cast("string"), F.col(subject).cast("string")), 256), 1, 15), 16, 10).cast("bigint"), F.lit(2))
+    flip = F.when(F.col("__exact"), F.expr("shiftright(__k, __i) & 1").cast("bigint")).otherwise(drawn) == 1
+    both = patterns.select(family, "__k", "__s", "__a", "__exact").join(rows, family)
+    sums = both.groupBy(family, "__k").agg(F.sum(F.when(flip, -F.col("__v")).otherwise(F.col("__v"))).alias("__f"), *(F.first(c).alias(c) for c in ("__s", "__a", "__exact")))
+    far = F.count_if(F.abs("__f") >= F.abs("__s") - 1e-9 * F.col("__a"))
+    n = F.count(F.lit(1))
+    p = sums.groupBy(family).agg(F.when(F.first("__exact"), far / n).otherwise((far + 1) / (n + 1)).alias("p_value"))
+    out = sizes.select(family, "n_participants", "mean").join(p, family).withColumn("__every", F.lit(1))
+    return holm(out.select("__every", family, "n_participants", "mean", "p_value"), ["__every"], "p_value").drop("__every")
+
+
+def cyclic_derangements(people: DataFrame, subject: str, draws: int, root: str) -> DataFrame:
+    """For each draw another donor for each participant, all different: ``draw``, ``subject``, ``donor``.
+
+    Participants are ordered by the hash of draw and name, and each gets the next
+    one's: no one gets its own, and nothing has to be drawn again. With one
+    participant there is none.
+    """
+    each = people.select(subject).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    order = F.sha2(F.concat_ws("|", F.lit(root), F.col("draw").cast("string"), F.col(subject).cast("string")), 256)
+    w = Window.partitionBy("draw").orderBy(order, subject)
+    return each.withColumn("donor", F.coalesce(F.lead(subject).over(w), F.first(subject).over(w))).where(F.col("donor") != F.col(subject))
+
+
+def derangement_scores(assigned: DataFrame, pairs: DataFrame, subject: str, own: str) -> DataFrame:
+    """Per draw how much better the own value is than the donor's, on average, and whether donors are as good: ``draw``, ``n``, ``mean_gain``, ``as_good``.
+
+    ``pairs``: one row a participant with its error ``own``.
+    """
+    mine = pairs.select(subject, F.col(own).alias("__own"))
+    theirs = pairs.select(F.col(subject).alias("donor"), F.col(own).alias("__donor"))
+    both = assigned.join(mine, subject).join(theirs, "donor")
+    out = both.groupBy("draw").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("__donor") - F.col("__own")).alias("mean_gain"))
+    return out.withColumn("as_good", F.col("mean_gain") <= 1e-12)
+
+
+def weekday_shift_null(df: DataFrame, subject: str, day: str, x: str, y: str, shifts: int) -> DataFrame:
+    """As ``shift_null``, with ``y`` moved among the days of the same weekday of a participant only."""
+    w = Window.partitionBy(subject, "__d")
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(subject, x, y, F.col(day).alias("__day"), F.weekday(day).alias("__d"))
+    rows = rows.withColumns({"i": F.row_number().over(w.orderBy("__day")) - 1, "n": F.count(F.lit(1)).over(w)})
+    left = rows.select(subject, "__d", x, "i", "n").withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(shifts)))).withColumn("i", F.pmod(F.col("i") + F.col("shift"), F.col("n")).cast("int"))
+    both = left.join(rows.select(subject, "__d", y, "i"), [subject, "__d", "i"])
+    sums = pair_sums(both, ["shift", subject], x, y).where("n >= 2").groupBy("shift").agg(F.sum("sxx").alias("a"), F.sum("syy").alias("b"), F.sum("sxy").alias("c"))
+    return sums.select("shift", F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("c") / F.sqrt(F.col("a") * F.col("b"))).alias("r"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapline.plans import contract_queries, core_queries, more_queries, phase_queries, primitive_queries, replay_queries, report_queries, representation_queries, study_queries
+from gapline.plans import contract_queries, core_queries, further_queries, more_queries, phase_queries, primitive_queries, replay_queries, report_queries, representation_queries, study_queries
 
-MODULES = (core_queries, study_queries, more_queries, primitive_queries, replay_queries, phase_queries, contract_queries, representation_queries, report_queries)
+MODULES = (core_queries, study_queries, more_queries, primitive_queries, replay_queries, phase_queries, contract_queries, representation_queries, report_queries, further_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
