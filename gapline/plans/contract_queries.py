@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gapline.operators import contracts, masks
 from gapline.plans.primitive_queries import query as _query, rounded
-from gapline.sources.study import readings
+from gapline.sources.study import canonical_sensor, readings, window_bounds
 from gapline.sources.tables import each_once, read
 
 QUERIES: dict = {}
@@ -148,3 +148,20 @@ def op139_gap_faults(spark: SparkSession, folder: str) -> DataFrame:
 def op067_definitions_by_sensor(spark: SparkSession, folder: str) -> DataFrame:
     d = read(spark, folder, "primitive_definitions")
     return d.groupBy("sensor_file").agg(F.count(F.lit(1)).alias("n_primitives"), F.array_join(F.sort_array(F.collect_list("primitive")), ",").alias("primitives"), F.max("expected_epochs").alias("most_epochs"))
+
+
+@query("select distinct record_id, subject_id, strftime(source_timestamp, '%Y-%m-%d %H:%M:%S.%f') as source_timestamp, case when isnan(raw_value) then null else round(raw_value, 4) end as raw_value from phase_records where sensor_file = 'wHr_canonical.parquet'")
+def op001_sensor_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """One sensor's readings, by projection and a filter that reach the scan."""
+    out = canonical_sensor(spark, folder, "wHr_canonical.parquet")
+    return out.select("record_id", "subject_id", F.date_format("source_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("source_timestamp"), F.round(F.nanvl("raw_value", F.lit(None).cast("double")), 4).alias("raw_value"))
+
+
+@query("with v as (select distinct view_id, primitive, window_start, window_end from phase_views) select v.view_id, strftime(date_trunc('day', window_start) + case when feature_window = 'evening' then interval 18 hour else interval 0 hour end, '%Y-%m-%d %H:%M:%S') as low, strftime(date_trunc('day', window_start) + interval 1 day, '%Y-%m-%d %H:%M:%S') as high, window_start = date_trunc('day', window_start) + case when feature_window = 'evening' then interval 18 hour else interval 0 hour end and window_end = date_trunc('day', window_start) + interval 1 day as as_defined from v join primitive_definitions d on d.primitive = v.primitive")
+def op032_window_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The window that a view's definition asks for, and whether the view has it."""
+    views = each_once(read(spark, folder, "phase_views"), ["view_id", "primitive", "window_start", "window_end"])
+    known = views.join(F.broadcast(read(spark, folder, "primitive_definitions").select("primitive", "feature_window")), "primitive")  # a fixed table
+    low, high = window_bounds(F.to_date("window_start"), F.col("feature_window"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return known.select("view_id", text(low).alias("low"), text(high).alias("high"), ((F.col("window_start") == low) & (F.col("window_end") == high)).alias("as_defined"))

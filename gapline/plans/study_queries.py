@@ -57,7 +57,7 @@ D = "strftime(day, '%Y-%m-%d') as day"
 
 
 @query(f"with {EV} select subject_id, {D}, count(*)::bigint as n_records, count(distinct event_type)::bigint as n_types, min(minute) as first_minute, max(minute) as last_minute from ev group by subject_id, day".replace("min(minute)", "round(min(minute), 6)").replace("max(minute)", "round(max(minute), 6)"))
-def op001_day_scan(spark: SparkSession, folder: str) -> DataFrame:
+def op085_day_scan(spark: SparkSession, folder: str) -> DataFrame:
     out = readings(spark, folder).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_records"), F.countDistinct("event_type").alias("n_types"), F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"))
     return text_day(six(out, "first_minute", "last_minute"))
 
@@ -120,12 +120,12 @@ def op081_daily_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"with {EV}, f as ({_FEATURES}) " + " union all ".join(f"select subject_id, {D}, '{n}' as primitive, round({n}, 6) as feature_value from f" for n in _NAMES))
-def op201_long_features(spark: SparkSession, folder: str) -> DataFrame:
+def op192_long_features(spark: SparkSession, folder: str) -> DataFrame:
     return text_day(six(daily.long_features(_features(spark, folder), KEYS, _NAMES), "feature_value"))
 
 
 @query(f"with {EV}, f as ({_FEATURES}) select subject_id, {D}, " + ", ".join(f"round({n}, 6) as {n}" for n in _NAMES) + " from f")
-def op202_wide_features(spark: SparkSession, folder: str) -> DataFrame:
+def op201_wide_features(spark: SparkSession, folder: str) -> DataFrame:
     return text_day(six(daily.wide_features(daily.long_features(_features(spark, folder), KEYS, _NAMES), KEYS, _NAMES), *_NAMES))
 
 
@@ -667,12 +667,5 @@ def op046_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return diff.unmatched(read(spark, folder, "customer"), read(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
 
 
-@query(f"with {EV} select subject_id, event_type, count(*)::bigint as n_records, round(sum(value), 6) as total from ev group by grouping sets ((subject_id, event_type), (subject_id), ())")
-def op513_grouping_sets(spark: SparkSession, folder: str) -> DataFrame:
-    ev = readings(spark, folder)
-    out = ev.groupingSets([[F.col("subject_id"), F.col("event_type")], [F.col("subject_id")], []], "subject_id", "event_type").agg(F.count(F.lit(1)).alias("n_records"), F.sum("value").alias("total"))
-    return six(out, "total")
-
-
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return op054_geometry_effect(spark, folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapline.sources.tables import read
@@ -31,3 +31,16 @@ def readings(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("event_type").isin("click", "purchase"), 1.0).otherwise(0.0).alias("state"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).alias("unknown"),
     )
+
+
+def canonical_sensor(spark: SparkSession, folder: str, sensor_file: str, columns: tuple[str, ...] = ("raw_value",)) -> DataFrame:
+    """The readings of one sensor: ``subject_id``, ``source_timestamp`` and the named columns, each record once; nothing else is scanned."""
+    rows = read(spark, folder, "phase_records").where(F.col("sensor_file") == sensor_file)
+    return rows.select("record_id", "subject_id", "source_timestamp", *columns).distinct()
+
+
+def window_bounds(day: Column, window: Column) -> tuple[Column, Column]:
+    """Start and end of a day's feature window: the whole day, or from 18 h on."""
+    start = day.cast("timestamp_ntz")
+    hours = lambda n: F.make_dt_interval(F.lit(0), F.lit(n))
+    return F.when(window == "evening", start + hours(18)).otherwise(start), start + hours(24)
