@@ -225,6 +225,37 @@ def patched_indicators(rows: DataFrame, patches: DataFrame) -> DataFrame:
     return old.join(new, ["seed", *DAY, "indicator"], "full").where(~F.col("value").eqNullSafe(F.col("patched_value")))
 
 
+def calibration_under_masks(rows: DataFrame, played: DataFrame, k: int = 14) -> DataFrame:
+    """How far masks of calibration days move a participant's center: ``subject_id``, ``primitive``, ``scenario``, ``draw``, ``center``, ``masked_center``, ``n_masked``.
+
+    ``played``: ``view_id``, ``scenario``, ``draw``, ``masked_value`` (null: the day drops out). Each scenario and
+    draw that masks a day of the calibration estimates it anew, with all its other days as they are.
+    """
+    days = rows.where(F.col("elapsed").between(1, k) & F.col("value").isNotNull() & (F.col("confidence") > 0)).select("view_id", "subject_id", "primitive", "value", "confidence")
+    hit = days.select("view_id", "subject_id", "primitive").join(played.select("view_id", "scenario", "draw", "masked_value"), "view_id")
+    once = hit.groupBy("view_id", "subject_id", "primitive", "scenario", "draw").agg(F.max("masked_value").alias("masked_value"))
+    runs = once.groupBy("subject_id", "primitive", "scenario", "draw").agg(F.count(F.lit(1)).alias("n_masked"))
+    each = runs.join(days, ["subject_id", "primitive"]).join(once.select("view_id", "scenario", "draw", "masked_value", F.lit(True).alias("hit")), ["view_id", "scenario", "draw"], "left")
+    now = each.withColumn("value", F.when(F.coalesce("hit", F.lit(False)), F.col("masked_value")).otherwise(F.col("value")))
+    keys = ["subject_id", "primitive", "scenario", "draw"]
+    new = weighted_median(now, keys, "value", "confidence", "masked_center")
+    old = weighted_median(days, ["subject_id", "primitive"], "value", "confidence", "center")
+    return runs.join(old, ["subject_id", "primitive"]).join(new, keys, "left").select(*keys, "center", "masked_center", "n_masked")
+
+
+#: Primitives of one behaviour seen by two sensors.
+PAIRS = (("screen_load_24h", "usage_load_24h"), ("screen_disengagement_p90", "usage_disengagement_p90"), ("phone_activity_load_24h", "step_load_24h"), ("mobile_light_exposure_24h", "wearable_light_exposure_24h"), ("mobile_low_light_onset", "wearable_low_light_onset"))
+
+
+def pair_days(coordinates: DataFrame, column: str = "reference_z", pairs=PAIRS) -> DataFrame:
+    """Days on which both primitives of a pair have a coordinate: ``left``, ``right``, ``discrepancy`` and ``same_sign``."""
+    table = coordinates.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, left string, right string")
+    known = coordinates.where(F.col(column).isNotNull()).select(*DAY, "primitive", F.col(column).alias("c"))
+    left = known.join(F.broadcast(table.select("pair", F.col("left").alias("primitive"))), "primitive").select(*DAY, "pair", F.col("primitive").alias("left"), F.col("c").alias("a"))  # a fixed list
+    right = known.join(F.broadcast(table.select("pair", F.col("right").alias("primitive"))), "primitive").select(*DAY, "pair", F.col("primitive").alias("right"), F.col("c").alias("b"))  # a fixed list
+    return left.join(right, [*DAY, "pair"]).select(*DAY, "left", "right", F.abs(F.col("a") - F.col("b")).alias("discrepancy"), (F.signum("a") == F.signum("b")).alias("same_sign"))
+
+
 #: Blocks of columns that each arm of an outcome model has.
 ARMS = {
     "calendar": ("calendar",), "quality": ("calendar", "quality"), "raw": ("calendar", "quality", "raw"), "population": ("calendar", "quality", "population"), "personal": ("calendar", "quality", "shrinkage"),

@@ -12,7 +12,7 @@ from gapline.operators import replays
 from gapline.plans.contract_queries import WINDOWS, windows
 from gapline.plans.phase_queries import _CUT, _PER, _REPAIR, PHASES, PhaseParts
 from gapline.plans.primitive_queries import DAILY, FRAMED, query as _query, rounded
-from gapline.plans.replay_queries import _P, _SCALES, AUDIT, MASKS, PLAYED, _scales
+from gapline.plans.replay_queries import _P, _SCALES, _SCATTER, AUDIT, MASKS, PLAYED, TARGETS, _scales
 from gapline.plans.representation_queries import _PP, RepParts
 from gapline.operators import phases, representations as rep
 from gapline.sources.tables import each_once, read
@@ -158,3 +158,37 @@ def op166_missing_replays(spark: SparkSession, folder: str) -> DataFrame:
     last = played.groupBy("primitive", "scenario").agg(F.max("draw").alias("m"))
     grid = played.drop("draw").distinct().join(last, ["primitive", "scenario"]).select("subject_id", "primitive", "scenario", F.explode(F.sequence(F.lit(0), "m")).alias("draw"))
     return grid.join(played.distinct(), ["subject_id", "primitive", "scenario", "draw"], "left_anti")
+
+
+_EFFECT = f"""with {DAILY}, {MASKS}, {AUDIT}, {PLAYED}, {PHASES}, {_PER}, {_CUT}, {_REPAIR}, rv as (select view_id, seed, case when kind <> 'timing' and without = 0 then case when kind = 'additive' then s + added else (s + rated) / (n + filled) end end as repaired from rs),
+ gn as (select p.primitive, p.scenario, p.subject_id, abs(p.masked_value - p.original_value) - abs(rv.repaired - p.original_value) as gain from played p join rv using (view_id, seed) where p.masked_value is not null and rv.repaired is not null and p.original_value is not null), go as (select primitive, scenario, subject_id, median(gain) as m from gn group by all)"""
+
+
+@query(_EFFECT + " select primitive, " + ", ".join(f"round(median(case when scenario = '{s}' then m end), 5)::double + 0.0 as {s}" for s in _SCENARIOS) + " from go group by 1")
+def op272_effect_table(spark: SparkSession, folder: str) -> DataFrame:
+    """How much nearer the repair from templates comes to the original than the masked value, by primitive and scenario."""
+    p = PhaseParts(spark, folder)
+    fixed = phases.repaired_days(p.bins, p.cut, p.templates).select("view_id", "seed", "repaired_value")
+    both = p.played.join(fixed, ["view_id", "seed"]).withColumn("gain", F.abs(F.col("masked_value") - F.col("original_value")) - F.abs(F.col("repaired_value") - F.col("original_value")))
+    out = rounded(rp.pivoted_medians(both, "primitive", "scenario", list(_SCENARIOS), "subject_id", "gain"), 5, *_SCENARIOS)
+    wanted = out.select("primitive", *((F.col(c) + 0.0).alias(c) for c in _SCENARIOS))
+    return wanted.where(F.coalesce(*_SCENARIOS).isNotNull())
+
+
+_SIMPLE = "('binary_load', 'binary_active_minutes', 'activity_load', 'additive_load', 'exposure_mean')"
+_GEO = f"""with {DAILY}, {MASKS}, {AUDIT}, {TARGETS}, {PLAYED}, {_SCATTER}, sl as (select x.view_id, pick.seed, any_value(op) as op, any_value(p_epoch) as p_epoch, any_value(sc) as sc, count(*) as n, sum(v) as s, sum(ln(1 + v)) as l from pick join x using (view_id, record_id) group by 1, 2),
+ st as (select view_id, count(*) as n, sum(v) as s, sum(ln(1 + v)) as l from x where ok and op in {_SIMPLE} group by 1), sv2_ as (select sl.view_id, sl.seed, case when op in ('binary_load', 'activity_load') then (st.s - sl.s) / (st.n - sl.n) when op = 'binary_active_minutes' then (st.s - sl.s) * p_epoch when op = 'additive_load' then (st.s - sl.s) * sc else (st.l - sl.l) / (st.n - sl.n) end as v from sl join st using (view_id) where op in {_SIMPLE}),
+ gd as (select p.primitive, p.scenario, p.subject_id, abs(p.masked_value - p.original_value) - abs(sv2_.v - p.original_value) as delta from played p join sv2_ using (view_id, seed) where p.masked_value is not null), gm as (select primitive, scenario, subject_id, median(delta) as m from gd where delta is not null group by all)"""
+
+
+@query(_GEO + " select primitive, scenario, count(*)::bigint as n_participants, round(median(m), 5)::double + 0.0 as median_delta from gm group by 1, 2")
+def op273_geometry_table(spark: SparkSession, folder: str) -> DataFrame:
+    """At an equal number of deleted readings, how much further a mask moves a sum or mean than scattered deletion does."""
+    p = RepParts(spark, folder)
+    picked = replays.scattered_records(p.framed, p.targets, "gapline")
+    counted = picked.join(p.framed.where("ok"), ["view_id", "record_id"]).groupBy("view_id", "seed").agg(F.count("v").alias("k"), F.sum("v").alias("d"), F.sum(F.log1p("v")).alias("dl"))
+    spread = replays.block_values(p.framed, p.masks.join(counted.select("seed"), "seed", "left_semi"), counted).select("view_id", "seed", F.col("masked_value").alias("spread_value"))
+    both = p.played.join(spread, ["view_id", "seed"]).withColumn("delta", F.abs(F.col("masked_value") - F.col("original_value")) - F.abs(F.col("spread_value") - F.col("original_value"))).where("delta is not null")
+    own = both.groupBy("primitive", "scenario", "subject_id").agg(F.median("delta").alias("m"))
+    out = own.groupBy("primitive", "scenario").agg(F.count(F.lit(1)).alias("n_participants"), F.median("m").alias("median_delta"))
+    return rounded(out, 5, "median_delta").withColumn("median_delta", F.col("median_delta") + 0.0)

@@ -209,3 +209,25 @@ def op213_outcome_arms(spark: SparkSession, folder: str) -> DataFrame:
         got = rep.arm_features(blocks, arm).groupBy("feature").agg(F.count(F.lit(1)).alias("n_days"), F.count("x").alias("n_known"), F.sum("x").alias("total")).select(F.lit(arm).alias("arm"), "*")
         out = got if out is None else out.unionByName(got)
     return rounded(out, 4, "total").withColumn("total", F.col("total") + 0.0)
+
+
+_CALIBRATION = f"""cd as (select view_id, subject_id, primitive, value, confidence from cq where elapsed between 1 and 14 and value is not null and confidence > 0), on1 as (select cd.view_id, cd.subject_id, cd.primitive, p.scenario, p.draw, max(p.masked_value) as masked_value from cd join played p using (view_id) group by all),
+ ru as (select subject_id, primitive, scenario, draw, count(*)::bigint as n_masked from on1 group by all), ea as (select ru.scenario, ru.draw, cd.subject_id, cd.primitive, cd.confidence, case when o.view_id is not null then o.masked_value else cd.value end as value from ru join cd on cd.subject_id = ru.subject_id and cd.primitive = ru.primitive left join on1 o on o.view_id = cd.view_id and o.scenario = ru.scenario and o.draw = ru.draw),
+ {wmedian_sql("nc", "ea", "subject_id, primitive, scenario, draw", "value", "confidence", "masked_center")}, {wmedian_sql("oc0", "cd", "subject_id, primitive", "value", "confidence", "center")}"""
+
+
+@query(f"with {DAILY}, {CONF}, {MASKS}, {AUDIT}, {PLAYED}, {_CALIBRATION} select subject_id, primitive, scenario, draw, round(center, 6)::double as center, round(masked_center, 6)::double as masked_center, n_masked from ru join oc0 using (subject_id, primitive) left join nc using (subject_id, primitive, scenario, draw)")
+def op220_calibration_sensitivity(spark: SparkSession, folder: str) -> DataFrame:
+    """Calibrations estimated anew under each scenario and draw that masks one of their days."""
+    p = RepParts(spark, folder)
+    return rounded(rep.calibration_under_masks(p.rows_, materialize(p.played, "played")), 6, "center", "masked_center")
+
+
+_DUAL = f"du as (select subject_id, sensor_day_id, primitive, case when b.scale > 0 then {_CUT.format('(value - a.center) / b.scale')} end as rz from cq join grid a using (subject_id, primitive) join grid b using (subject_id, primitive) where a.k = 14 and b.k = 14 and a.method = 'shrinkage' and b.method = 'population' and value is not null)"
+
+
+@query(f"{_G}, {_DUAL}, pp(l, r) as (values {', '.join(f'({a!r}, {b!r})' for a, b in rep.PAIRS)}) select a.subject_id, a.sensor_day_id, pp.l as left, pp.r as right, round(abs(a.rz - b.rz), 5)::double as discrepancy, sign(a.rz) = sign(b.rz) as same_sign from pp join du a on a.primitive = pp.l join du b on b.primitive = pp.r and b.subject_id = a.subject_id and b.sensor_day_id = a.sensor_day_id where a.rz is not null and b.rz is not null".replace("as left", 'as "left"').replace("as right", 'as "right"'))
+def op053_pair_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Both sensors of a behaviour on one day, on the reference scale."""
+    p = RepParts(spark, folder)
+    return rounded(rep.pair_days(rep.dual_coordinates(p.rows_.where("value is not null"), p.grid)), 5, "discrepancy")
