@@ -57,11 +57,10 @@ class PiiSettings:
 
 # --- windows --------------------------------------------------------------------------------------------------------
 
-#: Where a window may end: a line that doesn't end in a comma or colon, or a sentence whose last word is no abbreviation.
-_CUT = re.compile(
-    r"(?<![,:;\s])[ \t]*[\r\n]+\s*|(?:(?<=\d\d[.!?])|(?<=[^\W\d_]{3}[.!?]))(?<!\bprof\.)(?<!\bmrs\.)(?<!\bdra\.)(?<!\bsra\.)(?<!\bsrta\.)(?<!str\.)(?<!\bavda\.)(?<!\bpza\.)(?<!\bapt\.)(?<!\btel\.)[ \u00a0]+(?=\S)",
-    re.I,
-)
+#: Where a window may end: behind a line's end, or behind a stop before a space.
+_END = re.compile(r"[.!?][ \u00a0]+(?=\S)|[\r\n]\s*")
+#: Abbreviations of three letters and more that a name, number or street follows.
+_SHORT = ("prof", "mrs", "dra", "sra", "srta", "str", "avda", "pza", "apt", "tel")
 #: The model takes all digits for one letter, so windows that differ in digits alone are decoded alike.
 _DIGITS = str.maketrans("123456789", "0" * 9)
 
@@ -69,16 +68,32 @@ _DIGITS = str.maketrans("123456789", "0" * 9)
 Window = tuple[int, int, bool, bool]
 
 
+def _ends(text: str) -> Iterator[int]:
+    """Ends of lines that don't end in a comma or colon, and of sentences whose last word is a number or has three letters and isn't an abbreviation."""
+    for m in _END.finditer(text):
+        at = m.start()
+        if text[at] in "\r\n":
+            if text[max(0, at - 3) : at].rstrip(" \t")[-1:] not in (",", ":", ";"):
+                yield m.end()
+            continue
+        last = text[max(0, at - 3) : at]
+        if last[-2:].isdigit() and len(last) > 1 or len(last) == 3 and last.isalpha() and not text[max(0, at - 4) : at].lower().endswith(_SHORT):
+            yield m.end()
+
+
 def windows_of(text: str, settings: PiiSettings) -> list[Window]:
     """The windows of a whole text: its sentences and lines; those longer than a window as overlapping windows."""
     out: list[Window] = []
-    a, hop = 0, settings.window - settings.overlap
-    for b in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
-        start = a
-        while b - start > settings.window:
-            out.append((start, start + settings.window, start > a, True))
-            start += hop
-        if b > start:
+    a, hop, size = 0, settings.window - settings.overlap, settings.window
+    for b in [*_ends(text), len(text)]:
+        if b - a <= size:
+            if b > a:
+                out.append((a, b, False, False))
+        else:
+            start = a
+            while b - start > size:
+                out.append((start, start + size, start > a, True))
+                start += hop
             out.append((start, b, start > a, False))
         a = b
     return out
