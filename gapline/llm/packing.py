@@ -10,7 +10,9 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from gapline.staging import join_bounded, materialize
 LARGE = 0.25
 #: Groups into which the large items are cut.
 GROUPS = 256
+#: Groups for which configurations are optimised.
+FEW = 24
 
 
 def _configurations(sizes: list[int], need: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -59,7 +63,64 @@ def _configurations(sizes: list[int], need: list[int], capacity: int) -> list[tu
     return plan
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, large: float = LARGE, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+def _dearest(prices: np.ndarray, sizes: list[int], capacity: int) -> np.ndarray:
+    """The configuration of one container whose sizes are worth most."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for room in range(1, capacity + 1):
+        best[room] = best[room - 1]
+        for i, s in enumerate(sizes):
+            if s <= room and best[room - s] + prices[i] > best[room] + 1e-12:
+                best[room], last[room] = best[room - s] + prices[i], i
+    config, room = np.zeros(len(sizes)), capacity
+    while room > 0:
+        if last[room] < 0:
+            room -= 1
+            continue
+        config[last[room]] += 1
+        room -= sizes[last[room]]
+    return config
+
+
+def _optimised(sizes: list[int], need: list[int], capacity: int, steps: int = 2000) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations by linear programming over all of them, rounded down; what rounding leaves is filled by ``_configurations``.
+
+    The programme asks for the fewest containers that meet the needs. Its columns
+    are made as they are wanted: the prices of the sizes under the present
+    configurations name the one that is worth more than a container, which
+    enters, until there is none. Lengths are counted in at most 4,096 units,
+    rounded up, so the work doesn't grow with the capacity.
+    """
+    unit = -(-capacity // 4096)
+    small, room = [-(-s // unit) for s in sizes], capacity // unit
+    if not sizes or max(small) > room:
+        return _configurations(sizes, need, capacity)
+    base = np.diag([float(room // s) for s in small])
+    wanted = np.array(need, float)
+    for _ in range(steps):
+        prices = np.linalg.solve(base.T, np.ones(len(sizes)))
+        config = _dearest(np.maximum(prices, 0), small, room)
+        if config @ prices <= 1 + 1e-9:
+            break
+        uses, moved = np.linalg.solve(base, wanted), np.linalg.solve(base, config)
+        ratio = np.where(moved > 1e-12, uses / np.where(moved > 1e-12, moved, 1), np.inf)
+        base[:, int(ratio.argmin())] = config
+    times = np.floor(np.maximum(np.linalg.solve(base, wanted), 0) + 1e-7).astype(int)
+    left, plan = list(need), []
+    for k in range(len(sizes)):
+        config = base[:, k].round().astype(int)
+        n = min([int(times[k]), *(left[i] // c for i, c in enumerate(config) if c)])
+        if n > 0:
+            plan.append((tuple(int(c) for c in config), n))
+            left = [x - n * int(c) for x, c in zip(left, config)]
+    return plan + _configurations(sizes, left, capacity)
+
+
+def best_packing(histogram: dict[int, int], capacity: int, large: float = LARGE, groups: int = GROUPS, few: int = FEW) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """The better of two plans: few groups with optimised configurations, and many groups filled one after another; the former where they are equal."""
+    return min(plan_packing(histogram, capacity, large, few, _optimised), plan_packing(histogram, capacity, large, groups), key=lambda p: p[1])
+
+
+def plan_packing(histogram: dict[int, int], capacity: int, large: float = LARGE, groups: int = GROUPS, configure: Callable = _configurations) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Where the items of each length go, as segments, and the number of containers.
 
     Segment (length, first rank, last rank, first container, items per container,
@@ -100,7 +161,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, large: float = LARGE,
                 merged.append(list(c))
         sizes = [c[0][0] for c in merged]
         need = [sum(n for _, _, n in c) for c in merged]
-        for config, times in _configurations(sizes, need, capacity):
+        for config, times in configure(sizes, need, capacity):
             # Each slot of the configuration takes the next items of its group, one to a container.
             steps: list[list[tuple[int, int]]] = []  # of each slot: (length, containers), in order
             for g, k in enumerate(config):
@@ -188,7 +249,7 @@ def pack(df: DataFrame, ident: str, length: str, capacity: int, large: float = L
     before = counts.withColumn("offset", F.sum("many").over(Window.partitionBy("n").orderBy("part")) - F.col("many"))
     # At most one number for each length up to the capacity.
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("n").agg(F.sum("many")).collect()}
-    segments, _ = plan_packing(histogram, capacity, large, groups)
+    segments, _ = best_packing(histogram, capacity, large, groups)
     ordered = sorted(segments)
     # Segments of a length lie together: a number's place is sought among the ranks of its length.
     of_length = {}
@@ -197,7 +258,6 @@ def pack(df: DataFrame, ident: str, length: str, capacity: int, large: float = L
         of_length[s] = (first_i, i + 1)
 
     def place(batches):
-        import numpy as np
         import pandas as pd
 
         rank0, first, each = (np.array([x[i] for x in ordered], dtype=np.int64) for i in (1, 3, 4))

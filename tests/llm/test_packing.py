@@ -65,3 +65,30 @@ def test_room_is_kept_where_it_equals_the_containers_used():
     # 100 containers of 100, all used by four 24: room for a 4 remains in each.
     segments, n = plan_packing({24: 400, 4: 100}, 100)
     assert n == 100 and sum(b - a + 1 for _, a, b, *_ in segments) == 500
+
+
+def test_optimised_configurations_meet_the_needs_in_fewer_containers():
+    from gapline.llm.packing import _configurations, _optimised, best_packing, plan_packing
+
+    rng = random.Random(9)
+    for _ in range(12):
+        sizes = sorted(rng.sample(range(260, 1000), rng.randint(1, 12)), reverse=True)
+        need = [rng.randint(0, 400) for _ in sizes]
+        plan = _optimised(sizes, need, 1024)
+        assert all(sum(c * s for c, s in zip(config, sizes)) <= 1024 for config, _ in plan)
+        assert [sum(config[i] * n for config, n in plan) for i in range(len(sizes))] == need
+        assert sum(n for _, n in plan) <= sum(n for _, n in _configurations(sizes, need, 1024)) + len(sizes)
+    histogram = {s: 100 for s in range(300, 600)}
+    few, many = plan_packing(histogram, 1024, 0.25, 24, _optimised)[1], plan_packing(histogram, 1024)[1]
+    assert few < many and best_packing(histogram, 1024)[1] == few
+    # Capacities beyond 4,096 are counted in coarser units.
+    assert all(sum(c * s for c, s in zip(config, (90_000, 60_000, 40_000))) <= 150_000 for config, _ in _optimised([90_000, 60_000, 40_000], [10, 20, 30], 150_000))
+
+
+def test_one_length_shared_by_most_items(spark):
+    rows = [(i, 700) for i in range(3000)] + [(5000 + i, 100_000) for i in range(5)]
+    out = pack(spark.createDataFrame(rows, "id bigint, n int"), "id", "n", 1000, part_rows=7).collect()
+    held = {}
+    for r in out:
+        held[r.container_id] = held.get(r.container_id, 0) + r.piece_length
+    assert max(held.values()) <= 1000 and len(held) == max(held) + 1 == 3000 + 500 and len(out) == 3000 + 500
