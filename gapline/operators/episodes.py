@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MOST = 12
 
@@ -211,3 +212,52 @@ def bic(sequences: list[np.ndarray], model: DurationModel) -> float:
 def select_states(sequences: list[np.ndarray], candidates: tuple[int, ...] = (4, 6, 8)) -> int:
     """The number of states with the least criterion; ties go to the smaller number."""
     return min(candidates, key=lambda k: (round(bic(sequences, fit(sequences, k)), 9), k))
+
+
+def episode_batch(spark, seed: int, people: int = 10, days: int = 14, bins: int = 48, domains: int = 6, states: int = 4, shift: float = 0.0, available: float = 0.9) -> DataFrame:
+    """Synthetic days with a known truth: ``participant``, ``day``, ``bin``, ``state`` and ``d0``, ``d1``, ... (null where nothing was recorded).
+
+    States last a geometric number of half hours and never follow themselves;
+    each has a mean in each domain, the clock adds a wave, and participants lie
+    ``shift`` apart. A participant's days follow from the seed and its number, so
+    they are made where they are needed, in any number of tasks.
+    """
+    values = [f"d{i}" for i in range(domains)]
+    common = np.random.default_rng(seed)
+    means = common.normal(0, 2, (states, domains))
+
+    def make(batches):
+        for pdf in batches:
+            for person in pdf["id"]:
+                rng = np.random.default_rng([seed, int(person)])
+                parts = []
+                for day in range(days):
+                    truth, at, state = np.empty(bins, int), 0, int(rng.integers(states))
+                    while at < bins:
+                        n = min(bins - at, 1 + int(rng.geometric(0.2)))
+                        truth[at : at + n] = state
+                        at, state = at + n, (state + 1 + int(rng.integers(states - 1))) % states
+                    clock = np.sin(2 * np.pi * np.arange(bins) / bins)[:, None]
+                    x = means[truth] + 0.5 * clock + shift * int(person) + rng.normal(0, 1, (bins, domains))
+                    x[rng.random((bins, domains)) > available] = np.nan
+                    frame = pd.DataFrame(x, columns=values)
+                    frame.insert(0, "state", truth)
+                    frame.insert(0, "bin", np.arange(bins))
+                    frame.insert(0, "day", day)
+                    frame.insert(0, "participant", int(person))
+                    parts.append(frame)
+                yield pd.concat(parts).astype({v: object for v in values}).where(lambda f: f.notna(), None)
+
+    schema = "participant int, day int, bin int, state int, " + ", ".join(f"{v} double" for v in values)
+    return spark.range(0, people, 1, min(people, 8)).mapInPandas(make, schema)
+
+
+def induced_masks(days: DataFrame, keys: list[str], root: str, draws: int = 4, bins: int = 48, domains: int = 6) -> DataFrame:
+    """Masks of bins for each day and draw: contiguous_20pct, ten of 48 in every domain, and outage_1h, two in one domain: ``kind``, ``draw``, ``domain`` (null: all), ``first_bin``, ``last_bin``."""
+    number = lambda *parts: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(root), *(p.cast("string") for p in parts)), 256), 1, 15), 16, 10).cast("bigint")
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for k, n in (("contiguous_20pct", 10), ("outage_1h", 2))))
+    each = days.select(*keys).distinct().withColumn("x", F.explode(kinds)).select(*keys, "x.kind", "x.n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    names = [F.col("kind"), F.col("draw"), *(F.col(k) for k in keys)]
+    start = F.pmod(number(*names), F.lit(bins) - F.col("n") + 1).cast("int")
+    domain = F.when(F.col("kind") == "outage_1h", F.pmod(number(F.lit("domain"), *names), F.lit(domains)).cast("int"))
+    return each.select(*keys, "kind", "draw", domain.alias("domain"), start.alias("first_bin"), (start + F.col("n") - 1).cast("int").alias("last_bin"))

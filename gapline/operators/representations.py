@@ -270,3 +270,9 @@ def arm_features(blocks: dict[str, DataFrame], arm: str) -> DataFrame:
         part = blocks[name].select(*DAY, F.concat(F.lit(f"{name}__"), "feature").alias("feature"), F.col("x").cast("double").alias("x"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def fold_safe_grid(rows: DataFrame, outer: str, calibrations: tuple[int, ...] = CALIBRATIONS) -> DataFrame:
+    """``baseline_grid`` of all participants without ``outer`` in any population or donor, and of ``outer`` against all others: nothing of the held-out one reaches what it is judged by."""
+    inner = baseline_grid(rows.where(F.col("subject_id") != outer), calibrations)
+    return inner.unionByName(baseline_grid(rows, calibrations).where(F.col("subject_id") == outer))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapline.functions.robust import rank_auc
-from gapline.operators import diff, inference, perturbations, replays
+from gapline.operators import diff, episodes, inference, perturbations, replays
 from gapline.plans.phase_queries import PhaseParts
 from gapline.plans.primitive_queries import FRAMED, coverage_sql, query as _query, rounded, values_sql
 from gapline.plans.replay_queries import _P, _after
@@ -135,3 +135,12 @@ _ROW = "sha256('=' || event_id::varchar || chr(31) || '=' || event_type)"
 @query(f"with a as (select {_ROW} as d from events), b as (select substr(d, 1, 4) as p, sha256(string_agg(d, '' order by d)) as h, count(*) as n from a group by 1), c as (select substr(p || h, 1, 2) as p, sha256(string_agg(p || h, '' order by p || h)) as h, sum(n) as n from b group by 1), e as (select sha256(string_agg(p || h, '' order by p || h)) as h, sum(n) as n from c) select n::bigint as n_rows, sha256('event_id:bigint,event_type:string|' || h) as digest from e")
 def op314_tree_digest(spark: SparkSession, folder: str) -> DataFrame:
     return diff.tree_digest(read(spark, folder, "events"), ["event_id", "event_type"])
+
+
+_N = "('0x' || substr(sha256({0}), 1, 15))::bigint"
+
+
+@query(f"""with d as (select distinct subject_id, sensor_day_id from phase_views), k(kind, n) as (values ('contiguous_20pct', 10), ('outage_1h', 2)), e as (select *, unnest(range(0, 4))::int as draw from d, k), h as (select *, kind || '|' || draw::varchar || '|' || subject_id || '|' || sensor_day_id::varchar as name from e)
+ select subject_id, sensor_day_id, kind, draw, case when kind = 'outage_1h' then ({_N.format("'" + ROOT + "|domain|' || name")} % 6)::int end as domain, ({_N.format("'" + ROOT + "|' || name")} % (48 - n + 1))::int as first_bin, ({_N.format("'" + ROOT + "|' || name")} % (48 - n + 1) + n - 1)::int as last_bin from h""")
+def op163_induced_masks(spark: SparkSession, folder: str) -> DataFrame:
+    return episodes.induced_masks(read(spark, folder, "phase_views"), ["subject_id", "sensor_day_id"], ROOT)

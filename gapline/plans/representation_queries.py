@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -231,3 +232,16 @@ def op053_pair_days(spark: SparkSession, folder: str) -> DataFrame:
     """Both sensors of a behaviour on one day, on the reference scale."""
     p = RepParts(spark, folder)
     return rounded(rep.pair_days(rep.dual_coordinates(p.rows_.where("value is not null"), p.grid)), 5, "discrepancy")
+
+
+_INNER = GRID.replace("cq", "cqi")
+for _name in ("pk", "kc", "ko", "km", "kn", "own", "tr", "tc", "toff", "tm", "oth", "don", "gb", "grid"):
+    _INNER = re.sub(rf"\b{_name}(?=\b|_[gc]\b)", f"{_name}i", _INNER)
+
+
+@query(f"{_G}, cqi as (select * from cq where subject_id <> (select min(subject_id) from cq)), {_INNER} select subject_id, primitive, k, method, round(center, 6)::double as center, round(scale, 6)::double as scale, basis from gridi union all select subject_id, primitive, k, method, round(center, 6)::double, round(scale, 6)::double, basis from grid where subject_id = (select min(subject_id) from cq)")
+def op208_fold_safe_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Baselines with the first participant held out of everything that the others are compared with."""
+    p = RepParts(spark, folder)
+    outer = p.rows_.agg(F.min("subject_id")).first()[0]
+    return rounded(rep.fold_safe_grid(p.rows_, outer), 6, "center", "scale")

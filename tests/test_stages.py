@@ -160,3 +160,15 @@ def test_applicability_weights_are_not_negative(spark):
         rows.append((rng.choice("pqr"), round(a, 1), round(b, 1), int(rng.random() < 0.1 + 0.8 * a)))
     fitted = perturbations.applicability_model(spark.createDataFrame(rows, "s string, a double, b double, y int"), "s", ["a", "b"], "y")
     assert set(fitted) == {"p", "q", "r"} and all(w[1] > 1 and 0 <= w[2] < w[1] for w in fitted.values())
+
+
+def test_synthetic_episodes_follow_from_the_seed(spark):
+    from gapline.operators.episodes import episode_batch
+
+    one = episode_batch(spark, 5, people=3, days=2).orderBy("participant", "day", "bin").collect()
+    assert len(one) == 3 * 2 * 48 and {r.state for r in one} == {0, 1, 2, 3}
+    again = episode_batch(spark, 5, people=2, days=2).orderBy("participant", "day", "bin").collect()
+    assert again == one[: len(again)] and any(r.d0 is None for r in one) and all(a.state != b.state or a.day != b.day or b.bin == a.bin + 1 for a, b in zip(one, one[1:]))
+    far = episode_batch(spark, 5, people=3, days=2, shift=50.0).groupBy("participant").agg(F.avg("d1").alias("m")).collect()
+    means = {r.participant: r.m for r in far}
+    assert means[2] - means[1] > 40 and means[1] - means[0] > 40
