@@ -54,14 +54,30 @@ _P = f"with {DAILY}, {MASKS}, {AUDIT}, {PLAYED}"
 
 
 class Parts:
-    """What the queries of masks share, each made when first asked for."""
+    """What the queries of masks share, each made when first asked for.
+
+    With ``shared`` set to a dictionary, the queries of one application over one
+    folder also share it among each other: for tests, whose tables don't change.
+    """
+
+    shared: dict | None = None
+
+    def __new__(cls, spark: SparkSession, folder: str):
+        if Parts.shared is None:
+            return super().__new__(cls)
+        key = (cls, spark.sparkContext.applicationId, folder)
+        return Parts.shared.setdefault(key, super().__new__(cls))
 
     def __init__(self, spark: SparkSession, folder: str):
         tables = {n: read(spark, folder, n) for n in ("phase_records", "phase_views", "primitive_definitions", "mask_intervals")}
         self.records, self.views, self.definitions, self.rows = tables.values()
 
     def __getattr__(self, name: str):
+        if name.startswith(("make_", "__")):
+            raise AttributeError(name)
         made = getattr(self, f"make_{name}")()
+        if Parts.shared is not None:
+            made = materialize(made, "shared")
         setattr(self, name, made)
         return made
 

@@ -21,5 +21,9 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     ship(s)
+    from gapline.plans.replay_queries import Parts
+
+    Parts.shared = {}
     yield s
+    Parts.shared = None
     s.stop()
