@@ -6,6 +6,7 @@ reduced to sums first.
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -237,7 +238,7 @@ def calibration(df: DataFrame, label: str, p: str, steps: int = 25) -> DataFrame
     n, ones, spread = rows.agg(F.count(F.lit(1)), F.sum("y"), F.stddev_pop("z")).first()
     a = b = None
     if n and 0 < ones < n and spread:
-        a, b = 0.0, 1.0
+        a, b = math.log(ones / (n - ones)), 0.0  # from no slope Newton's steps don't overshoot
         for _ in range(steps):
             m = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("z"))))
             g = rows.agg(F.sum(F.col("y") - m), F.sum((F.col("y") - m) * F.col("z")), F.sum(m * (1 - m)), F.sum(m * (1 - m) * F.col("z")), F.sum(m * (1 - m) * F.col("z") * F.col("z"))).first()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gapline.operators import episodes, external, inference, masks, personal, phases
 from gapline.plans import study_queries as base
-from gapline.plans.study_queries import CELLS, D, EV, KEYS, MASKS, ROOT, TOTALS, _day_means, _deltas, _features, _hash, _masks, _pair, _participant_deltas, _predictions, places, readings, six, text_day
+from gapline.plans.study_queries import CELLS, D, EV, KEYS, MASKS, ROOT, TOTALS, _day_means, _deltas, _features, _hash, _masks, _pair, _participant_deltas, places, readings, six, text_day
 from gapline.sources.tables import read
 
 QUERIES: dict = {}
@@ -247,11 +247,6 @@ def op232_nuisance_adjusted(spark: SparkSession, folder: str) -> DataFrame:
     return six(inference.residual_correlation(pair, "subject_id", "x", "y", ["trend", "weekend"]), "r")
 
 
-@query()
-def op260_calibration(spark: SparkSession, folder: str) -> DataFrame:
-    return six(inference.calibration(_predictions(spark, folder), "state", "p"), "intercept", "slope")
-
-
 @query()
 def op294_decoded_states(spark: SparkSession, folder: str) -> DataFrame:
     bins = _bins(spark, folder).select(*KEYS, "phase_bin", "bin_mean", "support")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapline.operators import reporting as rp
-from gapline.operators import replays
+from gapline.operators import inference, replays
 from gapline.plans.contract_queries import WINDOWS, windows
 from gapline.plans.phase_queries import _CUT, _PER, _REPAIR, PHASES, PhaseParts
 from gapline.plans.primitive_queries import DAILY, FRAMED, query as _query, rounded
@@ -192,3 +192,14 @@ def op273_geometry_table(spark: SparkSession, folder: str) -> DataFrame:
     own = both.groupBy("primitive", "scenario", "subject_id").agg(F.median("delta").alias("m"))
     out = own.groupBy("primitive", "scenario").agg(F.count(F.lit(1)).alias("n_participants"), F.median("m").alias("median_delta"))
     return rounded(out, 5, "median_delta").withColumn("median_delta", F.col("median_delta") + 0.0)
+
+
+_NEWTON = f"""with recursive {LABELLED}, lz as (select label::double as y, ln(greatest(least(p, 1 - 1e-6), 1e-6) / (1 - greatest(least(p, 1 - 1e-6), 1e-6))) as z from pr), st as (select count(*) as n, sum(y) as ones from lz),
+ it(i, a, b) as (select 0, ln(ones / (n - ones)), 0.0::double from st union all select i + 1, a + (g4 * g0 - g3 * g1) / (g2 * g4 - g3 * g3), b + (g2 * g1 - g3 * g0) / (g2 * g4 - g3 * g3) from (select i, a, b, sum(y - m) as g0, sum((y - m) * z) as g1, sum(m * (1 - m)) as g2, sum(m * (1 - m) * z) as g3, sum(m * (1 - m) * z * z) as g4
+  from (select it.i, it.a, it.b, lz.y, lz.z, 1 / (1 + exp(-(it.a + it.b * lz.z))) as m from it, lz where it.i < 12) group by i, a, b))"""
+
+
+@query(f"{_NEWTON} select (select n from st)::bigint as n, round(a, 5)::double as intercept, round(b, 5)::double as slope from it where i = 12")
+def op260_calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """How the labels' log odds follow from those foretold: intercept and slope."""
+    return rounded(inference.calibration(predictions(spark, folder), "label", "p"), 5, "intercept", "slope")
