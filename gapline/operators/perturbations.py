@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapline.operators.primitives import VIEW, coverage_of, values_of
+from gapline.staging import materialize
 
 #: Kept shares of random and periodic losses, and lengths of outages in minutes.
 SHARES, OUTAGES = (90, 70, 50), (60, 180)
@@ -57,7 +58,7 @@ def deficits(framed: DataFrame, root: str) -> DataFrame:
     leaves nothing has no value and a kept share of 0.
     """
     rows = framed.where("ok")
-    left = perturbed(framed, root)
+    left = materialize(perturbed(framed, root), "perturbed")
     whole = coverage_of(rows).join(values_of(rows).select("view_id", "value"), "view_id", "left")
     size = rows.groupBy("view_id").agg(F.first(F.col("expected_epochs") * F.col("cadence_minutes")).alias("minutes"))
     after = coverage_of(left, BY).select("view_id", "perturbation", F.col("n_valid").alias("k"), F.col("coverage").alias("c"), F.col("longest_gap_minutes").alias("g")).join(values_of(left, BY).select("view_id", "perturbation", F.col("value").alias("perturbed_value")), ["view_id", "perturbation"], "left")

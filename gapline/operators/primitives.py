@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gapline.operators.daily import dark_onset, evening_bins, run_onset
 from gapline.sources.tables import each_once
-from gapline.staging import join_bounded, micros
+from gapline.staging import join_bounded, materialize, micros
 
 MINUTE = 60_000_000
 #: What names a view.
@@ -142,7 +142,8 @@ def daily_primitives(records: DataFrame, views: DataFrame, definitions: DataFram
     an empty result.
     """
     base = frames(views, definitions)
-    rows = framed(records, views, definitions)
+    # Read by coverage and by each kind of operation.
+    rows = materialize(framed(records, views, definitions), "framed")
     known = coverage_of(rows).join(values_of(rows), VIEW, "left")
     out = base.select(*VIEW, "expected_epochs", "coverage_mode").join(known.drop("expected_epochs"), VIEW, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -15,7 +15,7 @@ from gapline.operators.filling import real_day, real_text
 from gapline.operators.intervals import PERIOD, periods_and_gaps
 from gapline.operators.primitives import VIEW, coverage_of, values_of
 from gapline.sources.tables import each_once
-from gapline.staging import join_bounded, micros
+from gapline.staging import join_bounded, materialize, micros
 
 #: What names a mask of a view.
 MASK = [*VIEW, "seed", "scenario", "draw"]
@@ -73,8 +73,9 @@ def replay(framed: DataFrame, masks: DataFrame, spans: DataFrame, daily: DataFra
     abstained_no_event_support (a time of day without any mass left),
     abstained_insufficient_support, or finite.
     """
-    gone = deleted_records(framed, masks, spans)
-    left = replayed(framed, masks, gone)
+    gone = materialize(deleted_records(framed, masks, spans), "gone")
+    # Read by coverage and by each kind of operation.
+    left = materialize(replayed(framed, masks, gone), "left")
     after = coverage_of(left, MASK).join(values_of(left, MASK), MASK, "left").withColumnRenamed("value", "masked_value")
     counts = gone.groupBy("view_id", "seed").agg(F.count(F.lit(1)).alias("n_deleted"))
     out = masks.select(*MASK, "operation").join(after, MASK, "left").join(counts, ["view_id", "seed"], "left").join(daily.select("view_id", F.col("value").alias("original_value")), "view_id", "left")
