@@ -19,9 +19,6 @@ from gapline.staging import join_bounded, materialize, micros
 
 #: What names a mask of a view.
 MASK = [*VIEW, "seed", "scenario", "draw"]
-#: Scenarios that are one block, in the reference's design.
-BINS = 48
-HALF_HOUR = 30 * 60_000_000
 
 
 def mask_keys(rows: DataFrame) -> DataFrame:
