@@ -50,43 +50,42 @@ def mine(rows: DataFrame, determinant: list[str], field: str, ident: str) -> Dep
     return Dependency(tuple(determinant), field, n, again, bad)
 
 
-def _refuted(rows: DataFrame, tried: list[tuple[str, ...]], field: str, ident: str, keep: int | None = None, support: float = 0.0) -> set[tuple[str, ...]]:
+def _refuted(rows: DataFrame, tried: list[tuple[str, ...]], field: str, keep: int | None = None) -> set[tuple[str, ...]]:
     """Candidates of which ``rows`` hold a counterexample, all looked at in one pass.
 
     With ``keep``, one group in so many of each candidate is looked at, with all
-    its rows, and a candidate is also refuted if fewer than ``support`` of these
-    groups repeat their value.
+    its rows. That no counterexample is found says nothing.
     """
     if not tried:
         return set()
     known = lambda d: F.when(F.greatest(*[F.col(c).isNull() for c in d], F.lit(False)) == F.lit(False), F.xxhash64(*d))
-    each = rows.where(F.col(field).isNotNull()).select(F.explode(F.array(*(F.struct(F.lit(i).alias("c"), known(d).alias("h")) for i, d in enumerate(tried)))).alias("x"), field, ident)
-    each = each.select("x.c", "x.h", field, ident).where("h is not null")
+    each = rows.where(F.col(field).isNotNull()).select(F.explode(F.array(*(F.struct(F.lit(i).alias("c"), known(d).alias("h")) for i, d in enumerate(tried)))).alias("x"), field)
+    each = each.select("x.c", "x.h", field).where("h is not null")
     if keep:
         each = each.where(F.pmod("h", F.lit(keep)) == 0)
-    groups = each.groupBy("c", "h").agg((F.min(field) != F.max(field)).alias("bad"), (F.min(ident) != F.max(ident)).alias("again"))
-    counts = groups.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count_if("again").alias("again"), F.count_if("bad").alias("bad")).collect()
-    return {tried[r.c] for r in counts if r.bad or keep and r.again < support * r.n}
+    bad = each.groupBy("c", "h").agg((F.min(field) != F.max(field)).alias("bad")).where("bad")
+    return {tried[r.c] for r in bad.select("c").distinct().collect()}
 
 
 def mine_all(rows: DataFrame, field: str, ident: str, columns: list[str], most: int = 2, support: float = 0.1, probe: int = 100_000, groups: int = 64) -> list[Dependency]:
     """All minimal dependencies of ``field`` on up to ``most`` of ``columns``, verified on all complete rows.
 
     Every set of columns is a candidate. Those are refuted first of which any
-    ``probe`` rows hold a counterexample (one is enough), then those that fail in
-    one of ``groups`` of their groups. What is left is verified on all rows, the
+    ``probe`` rows hold a counterexample (one is enough), then those of which one
+    in ``groups`` of their groups does. What is left is verified on all rows, the
     small sets first, and supersets of a set that holds aren't looked at. A
     dependency holds if no group has two values and at least ``support`` of its groups
     repeat theirs: else nearly every group is one row and nothing is verified.
-    ``probe`` and ``groups`` save work and decide nothing that the rows don't,
-    except that support within a group sample must reach half of ``support``.
+    ``probe`` and ``groups`` save work and decide nothing: a counterexample is one
+    in all rows too (rows meet by 64-bit hashes), and groups, support and
+    violations are counted on all rows.
     """
     found: list[Dependency] = []
     some = rows.limit(probe)
     for size in range(1, most + 1):
         tried = [c for c in combinations(columns, size) if not any(set(d.determinant) <= set(c) for d in found)]
         for sample, keep in ((some, None), (rows, groups)):
-            gone = _refuted(sample, tried, field, ident, keep, support / 2)
+            gone = _refuted(sample, tried, field, keep)
             tried = [c for c in tried if c not in gone]
         checked = [mine(rows, list(c), field, ident) for c in tried]
         found += [d for d in checked if d.holds and d.repeated_groups >= support * d.groups]

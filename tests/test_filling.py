@@ -79,3 +79,15 @@ def test_mining_finds_all_minimal_dependencies(spark):
         assert {d.determinant for d in got} == {tuple(names[k] for k in d) for d in brute}
         assert {d.determinant for d in mine_all(df, field, "id", list(names[1:]))} == {d.determinant for d in got}
     assert mine_all(df.where("false"), "one", "id", ["a", "b"]) == []
+
+
+def test_support_is_counted_over_all_groups(spark):
+    from gapline.operators.filling import Dependency, mine_all
+
+    # The groups that a sample of one in 64 holds have one row each; all repeats lie in others.
+    keys = [(r.id, r.h == 0) for r in spark.range(2000).selectExpr("id", "pmod(xxhash64(id), 64) h").collect()]
+    single, twice = [k for k, hit in keys if hit], [k for k, hit in keys if not hit][:10]
+    assert len(twice) >= 0.1 * (len(single) + len(twice)) and len(single) > 10
+    rows = [(i, k, f"v{k % 7}") for i, k in enumerate(single + twice + twice)]
+    got = mine_all(spark.createDataFrame(rows, "id bigint, a bigint, v string"), "v", "id", ["a"])
+    assert got == [Dependency(("a",), "v", len(single) + 10, 10, 0)]
